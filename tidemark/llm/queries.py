@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, sharding, simhash
+from tidemark.llm import decontam, mixing, sharding, simhash
 from tidemark.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.histogram_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -49,5 +53,5 @@ FROM q
 #: crc32 has no DuckDB function: one over the bytes of each distinct text, bit by bit, is left out, and the column is held against zlib in the tests.
 OP7_SQL: str | None = None
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op7_shards": op7_shards, "op9_simhash": op9_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op4_decontaminate": op4_decontaminate, "op7_shards": op7_shards, "op9_simhash": op9_simhash}
 ORACLES: dict[str, str] = {"op1_mix": OP1_SQL}
