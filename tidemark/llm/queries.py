@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, matroska, mixing, quality, sharding, simhash
+from tidemark.llm import decontam, langid, matroska, mixing, quality, secrets, sharding, simhash
 from tidemark.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(matroska.with_media(table(spark, sf_dir, "documents")))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,5 +70,5 @@ FROM q
 #: crc32 has no DuckDB function: one over the bytes of each distinct text, bit by bit, is left out, and the column is held against zlib in the tests.
 OP7_SQL: str | None = None
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_matroska": op2_matroska, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op7_shards": op7_shards, "op9_simhash": op9_simhash, "op10_language": op10_language}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_matroska": op2_matroska, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op7_shards": op7_shards, "op9_simhash": op9_simhash, "op10_language": op10_language}
 ORACLES: dict[str, str] = {"op1_mix": OP1_SQL}
