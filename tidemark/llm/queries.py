@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, langid, matroska, mixing, quality, secrets, sharding, simhash
+from tidemark.llm import decontam, fuzzy_lines, langid, matroska, mixing, quality, secrets, sharding, simhash
 from tidemark.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.histogram_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -70,5 +74,5 @@ FROM q
 #: crc32 has no DuckDB function: one over the bytes of each distinct text, bit by bit, is left out, and the column is held against zlib in the tests.
 OP7_SQL: str | None = None
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_matroska": op2_matroska, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op7_shards": op7_shards, "op9_simhash": op9_simhash, "op10_language": op10_language}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_matroska": op2_matroska, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_fuzzy_lines": op6_fuzzy_lines, "op7_shards": op7_shards, "op9_simhash": op9_simhash, "op10_language": op10_language}
 ORACLES: dict[str, str] = {"op1_mix": OP1_SQL}
