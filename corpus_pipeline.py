@@ -1,15 +1,72 @@
-"""From raw documents to a sharded training mix."""
+"""From raw documents to a sharded training mix: five stages, each written and read again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tidemark.llm import decontam, mixing, quality, sharding, simhash
+from tidemark.llm.common import saved, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier does not reject; without labels all."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    if model is None:
+        return docs.select(*COLUMNS)
+    return quality.scored(docs.select(*COLUMNS), model).where(F.col("quality_score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id.
+
+    Rows without a doc_id take part but are only kept where their whole group has none;
+    rows that repeat a doc_id that stays are kept once.
+    """
+    groups = simhash.near_groups(docs)
+    groups = saved(groups)
+    heads = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    heads = saved(heads)
+    kept = docs.select(*COLUMNS).join(heads.select("doc_id"), "doc_id", "left_semi")
+    if not heads.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    nameless = groups.where("component_id IS NULL").groupBy("fp").agg(F.count("*").alias("n"))
+    if not nameless.isEmpty():
+        prints = simhash.fingerprints(docs.where("doc_id IS NULL").withColumn("doc_id", F.col("text")).select("doc_id", "text")).join(nameless.select("fp"), "fp", "left_semi").select(F.col("doc_id").alias("text_"))
+        nobody = docs.select(*COLUMNS).where("doc_id IS NULL").join(prints.distinct(), F.col("text").eqNullSafe(F.col("text_")), "left_semi")
+        kept = kept.union(nobody.dropDuplicates(["text"]))
+    return kept.select(*COLUMNS)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that contain no benchmark item."""
+    return decontam.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, up to three times."""
+    mixed = mixing.fair_queue(docs)
+    copies = saved(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")))
+    copied = docs.select(*COLUMNS).join(copies.where("copies > 0").withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
+    return copied.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+
+
+def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot) of every row of the mix."""
+    return sharding.histogram_shards(docs).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+STAGES = [("quality", keep_quality), ("near_copies", keep_one_of_near_copies), ("benchmark", drop_benchmark), ("mix", mix_sources), ("shards", place_in_shards)]
+#: The classifier and the fingerprints have no SQL form; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = saved(docs)
     return docs
