@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, fuzzy_lines, langid, matroska, mixing, quality, secrets, sharding, simhash
+from tidemark.llm import decontam, fuzzy_lines, langid, matroska, mixing, quality, secrets, sharding, simhash, toolcalls
 from tidemark.llm.common import table
 
 
@@ -41,6 +41,12 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = toolcalls.of_conversations(table(spark, sf_dir, "conversations"))
+    ids = (F.col(c).cast("long").alias(n) for c, n in (("thread", "conv_id"), ("call_id", "turn")))
+    return linked.select(*ids, "kind", "name", "level", "n_results", F.array_join("errors", ",").alias("errors"), "json")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -71,8 +77,21 @@ SELECT doc_id, size, source_size, target,
 FROM q
 """
 
+OP8_SQL = r"""
+WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name, text FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
+r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n_results FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
+z AS (SELECT DISTINCT conv_id FROM c WHERE turn = 0)
+SELECT c.conv_id, c.turn, 'call' AS kind, c.name, CASE WHEN c.turn > 0 AND z.conv_id IS NOT NULL THEN 1 ELSE 0 END AS level, coalesce(r.n_results, 0) AS n_results,
+  concat_ws(',', CASE WHEN c.text IS NULL THEN 'missing text' END, CASE WHEN c.turn > 0 AND z.conv_id IS NULL THEN 'need' END) AS errors,
+  '{"arguments":{' || CASE WHEN c.text IS NULL THEN '' ELSE '"text":' || to_json(c.text)::VARCHAR || ',' END || '"turn":' || c.turn || '},"call_id":"' || c.turn || '","name":"' || c.name || '","result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
+FROM c LEFT JOIN z ON c.conv_id = z.conv_id LEFT JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn
+UNION ALL
+SELECT r.conv_id, r.turn, 'result', NULL, NULL, r.n_results, 'call', '{"arguments":null,"call_id":"' || r.turn || '","name":null,"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}'
+FROM r ANTI JOIN c ON r.conv_id = c.conv_id AND r.turn = c.turn
+"""
+
 #: crc32 has no DuckDB function: one over the bytes of each distinct text, bit by bit, is left out, and the column is held against zlib in the tests.
 OP7_SQL: str | None = None
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_matroska": op2_matroska, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_fuzzy_lines": op6_fuzzy_lines, "op7_shards": op7_shards, "op9_simhash": op9_simhash, "op10_language": op10_language}
-ORACLES: dict[str, str] = {"op1_mix": OP1_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_matroska": op2_matroska, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_fuzzy_lines": op6_fuzzy_lines, "op7_shards": op7_shards, "op8_tool_calls": op8_tool_calls, "op9_simhash": op9_simhash, "op10_language": op10_language}
+ORACLES: dict[str, str] = {"op1_mix": OP1_SQL, "op8_tool_calls": OP8_SQL}
