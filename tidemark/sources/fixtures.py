@@ -33,7 +33,7 @@ FIXTURES: dict[str, str] = {
         SELECT CAST(n_regionkey AS BIGINT) AS keyspace_id, CAST(n_nationkey AS BIGINT) AS partition_id,
           CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) = 1 THEN '' ELSE n_name END AS start_key,
           lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_name) AS end_key,
-          CASE WHEN n_nationkey = 13 THEN NULL ELSE CAST(1 + (n_nationkey * 3) % 10 AS BIGINT) END AS owner, CAST(1 + n_nationkey % 4 AS BIGINT) AS epoch,
+          CASE WHEN n_nationkey = 13 THEN NULL WHEN n_nationkey % 4 = 0 THEN CAST(3 AS BIGINT) ELSE CAST(1 + (n_nationkey * 3) % 10 AS BIGINT) END AS owner, CAST(1 + n_nationkey % 4 AS BIGINT) AS epoch,
           CASE WHEN n_nationkey = 13 THEN 'unowned' WHEN n_nationkey % 8 = 5 THEN 'fenced' ELSE 'serving' END AS phase, CAST(3 + n_nationkey % 2 AS BIGINT) AS fence_map_version
         FROM {nation}""",
     # The same map with ranges moved, dropped and doubled, for the checks.
@@ -43,9 +43,9 @@ FIXTURES: dict[str, str] = {
         FROM {partition_map} WHERE partition_id NOT IN (2, 0, 24)""",
     "replicas": """
         SELECT p.keyspace_id, p.partition_id, CAST(1 + (p.partition_id * 3 + i.i * (1 + p.partition_id % 3)) % 10 AS BIGINT) AS node_id, CAST(i.i AS INT) AS position
-        FROM {partition_map} p CROSS JOIN (VALUES (1), (2)) AS i(i) WHERE p.partition_id <> 20""",
+        FROM {partition_map} p CROSS JOIN (VALUES (1), (2)) AS i(i) WHERE p.partition_id <> 20 AND p.owner IS DISTINCT FROM 1 + (p.partition_id * 3 + i.i * (1 + p.partition_id % 3)) % 10""",
     "nodes": """
-        SELECT s_suppkey AS node_id, CASE WHEN s_suppkey % 7 = 0 THEN 'control' ELSE 'worker' END AS role, (s_suppkey * 1237) % 3600 AS silent_millis,
+        SELECT s_suppkey AS node_id, CASE WHEN s_suppkey % 7 = 0 THEN 'control' ELSE 'worker' END AS role, CASE s_suppkey % 10 WHEN 4 THEN 3200 WHEN 7 THEN 1500 ELSE (s_suppkey * 37) % 900 END AS silent_millis,
           CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE concat('zone-', CAST(s_nationkey % 4 AS STRING)) END AS zone, concat('id-', CAST((s_suppkey * 7919) % 1009 AS STRING)) AS node_identity,
           CAST(0 AS BIGINT) AS min_major, CAST(s_suppkey % 2 AS BIGINT) AS min_minor, CAST(0 AS BIGINT) AS max_major, CAST(2 + s_suppkey % 3 AS BIGINT) AS max_minor,
           s_suppkey % 6 <> 5 AS ready, s_suppkey % 9 = 0 AS draining
