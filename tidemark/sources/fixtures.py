@@ -12,7 +12,7 @@ FIXTURES: dict[str, str] = {
           concat('u/', lpad(CAST(user_id AS STRING), 6, '0'), '/', CAST(CAST(JK(props) AS INT) % 4 AS STRING)) AS key,
           CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'get' ELSE 'put' END AS op,
           CASE WHEN event_type = 'signup' THEN 'if_not_present' WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'if_version' ELSE 'none' END AS cond,
-          CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN event_id - event_id % 50 END AS expected,
+          CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN lag(event_id + 1) OVER (PARTITION BY user_id, CAST(JK(props) AS INT) % 4 ORDER BY event_id) END AS expected,
           CASE WHEN event_type = 'purchase' THEN 21600000 WHEN event_id % 11 = 0 THEN 864000000 END AS ttl_millis,
           US(ts) DIV 1000 AS now_millis, CAST(round(value * 100) AS BIGINT) AS value_bytes
         FROM {events}""",
