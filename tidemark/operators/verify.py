@@ -88,7 +88,9 @@ def linearizable(history: DataFrame, budget: int = BUDGET) -> DataFrame:
     def check(group: pd.DataFrame) -> pd.DataFrame:
         none = lambda v: None if v is None or v != v else int(v)
         rows = [(int(r.op_id), r.kind, none(r.value) if r.kind == "write" else None, none(r.value) if r.kind == "read" else None, int(r.invoked), none(r.returned)) for r in group.itertuples()]
-        rows.sort(key=lambda o: o[4])
+        # A read without an answer says nothing, and an unanswered write that no read saw may as well never have happened.
+        read = {o[3] for o in rows if o[1] == "read" and o[5] is not None}
+        total, rows = len(rows), sorted((o for o in rows if o[5] is not None or (o[1] == "write" and o[2] in read)), key=lambda o: o[4])
         verdict, part, initial, latest, open_ended = LINEARIZABLE, [], ABSENT, -1, False
         for row in [*rows, None]:
             settled = part and row and not open_ended and row[4] > latest and part[-1][1] == "write" and all(o[5] < part[-1][4] for o in part[:-1])
@@ -100,7 +102,7 @@ def linearizable(history: DataFrame, budget: int = BUDGET) -> DataFrame:
             if row is not None:
                 part.append(row)
                 latest, open_ended = max(latest, row[5] or 0), open_ended or row[5] is None
-        return pd.DataFrame({"key": [group["key"].iloc[0]], "verdict": [verdict], "operations": [len(rows)]})
+        return pd.DataFrame({"key": [group["key"].iloc[0]], "verdict": [verdict], "operations": [total]})
 
     return history.groupBy("key").applyInPandas(check, "key long, verdict string, operations long")
 
