@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
 
-PART = Window.partitionBy("partition_id")
+def by_partition(*order: str):
+    window = Window.partitionBy("partition_id")
+    return window.orderBy(*order) if order else window
 
 
 @query("wal", """WITH b AS (SELECT partition_id, min(position) FILTER (frame <> 'ok') AS bad, arg_min(frame, position) FILTER (frame <> 'ok') AS reason FROM wal GROUP BY 1)
@@ -47,15 +49,15 @@ def catch_up_class(t):
   SELECT partition_id, file, top FROM (SELECT *, bool_and(top <= 750 AND file <> current) OVER (PARTITION BY partition_id ORDER BY file) AS gone FROM f) WHERE gone""")
 def wal_retention(t):
     """Leading files that hold nothing above the checkpoint (750) may go, never the current one."""
-    files = t("wal").groupBy("partition_id", "file").agg(F.max("lamport").alias("top")).withColumn("current", F.max("file").over(PART))
-    gone = F.every((F.col("top") <= 750) & (F.col("file") != F.col("current"))).over(PART.orderBy("file"))
+    files = t("wal").groupBy("partition_id", "file").agg(F.max("lamport").alias("top")).withColumn("current", F.max("file").over(by_partition()))
+    gone = F.every((F.col("top") <= 750) & (F.col("file") != F.col("current"))).over(by_partition("file"))
     return files.withColumn("gone", gone).where("gone").select("partition_id", "file", "top")
 
 
 @query("wal", "SELECT partition_id, min(lamport) AS from_lamport, max(lamport) AS to_lamport, count(*) AS entries FROM (SELECT partition_id, lamport, lamport - row_number() OVER (PARTITION BY partition_id ORDER BY lamport) AS island FROM wal WHERE lamport % 97 <> 0) GROUP BY partition_id, island")
 def lamport_gaps(t):
     """Contiguous stretches of a log with holes: gaps lie between them."""
-    rows = t("wal").where("lamport % 97 <> 0").withColumn("island", F.col("lamport") - F.row_number().over(PART.orderBy("lamport")))
+    rows = t("wal").where("lamport % 97 <> 0").withColumn("island", F.col("lamport") - F.row_number().over(by_partition("lamport")))
     return rows.groupBy("partition_id", "island").agg(F.min("lamport").alias("from_lamport"), F.max("lamport").alias("to_lamport"), F.count("*").alias("entries")).drop("island")
 
 
@@ -63,7 +65,7 @@ def lamport_gaps(t):
 def stale_epoch_entries(t):
     """Entries of an owner that was deposed before they arrived."""
     sent = F.when(F.col("position") % 150 == 149, F.col("epoch") - 1).otherwise(F.col("epoch"))
-    rows = t("wal").withColumn("epoch", sent).withColumn("top", F.max("epoch").over(PART.orderBy("position")))
+    rows = t("wal").withColumn("epoch", sent).withColumn("top", F.max("epoch").over(by_partition("position")))
     return rows.where("epoch < top").select("partition_id", "lamport", "epoch", "top")
 
 
@@ -144,7 +146,7 @@ def replica_may_serve(t):
     only by a replica that knows of every write before it, and closes the gap.
     """
     kind = F.when(F.col("position") % 10 == 0, "grant").when((F.col("position") % 10).isin(3, 6), "applied").when(F.col("position") % 10 == 8, "read").otherwise("invalidate")
-    events = t("wal").select("partition_id", "position", kind.alias("kind"), (F.col("position") % 170 == 61).alias("lost")).withColumn("seq", F.count_if(F.col("kind") == "invalidate").over(PART.orderBy("position")))
+    events = t("wal").select("partition_id", "position", kind.alias("kind"), (F.col("position") % 170 == 61).alias("lost")).withColumn("seq", F.count_if(F.col("kind") == "invalidate").over(by_partition("position")))
     ordered = F.array_sort(F.collect_list(F.struct("position", "kind", "lost", "seq")))
     state = "struct<expects:bigint,gap:boolean,until:bigint,applied:bigint,out:array<struct<position:bigint,may_serve:boolean>>>"
     start = F.struct(F.lit(1), F.lit(False), F.lit(-1), F.lit(0), F.array()).cast(state)
