@@ -90,8 +90,31 @@ SELECT r.conv_id, r.turn, 'result', NULL, NULL, r.n_results, 'call', '{"argument
 FROM r ANTI JOIN c ON r.conv_id = c.conv_id AND r.turn = c.turn
 """
 
-#: crc32 has no DuckDB function: one over the bytes of each distinct text, bit by bit, is left out, and the column is held against zlib in the tests.
-OP7_SQL: str | None = None
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+i AS (SELECT item_id, ws, least(5, len(ws)) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+own AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda k: array_to_string(ws[k:k + n - 1], ' '))) AS s FROM i),
+sizes AS (SELECT item_id, count(*) AS shingles FROM own GROUP BY 1),
+cut AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda k: array_to_string(ws[k:k + n - 1], ' '))) AS s FROM d, (SELECT DISTINCT n FROM i) WHERE len(ws) >= n)
+SELECT doc_id, item_id, count(*) AS shared, shingles, count(*) / shingles AS containment
+FROM cut JOIN own USING (n, s) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, shingles HAVING count(*) >= 0.8 * shingles - 1e-9
+"""
+
+#: The crc32 of a text, byte by byte, by the public table rule.
+OP7_SQL = r"""
+WITH RECURSIVE bits AS (SELECT i AS place, i AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT place, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+lookup AS (SELECT list(c ORDER BY place) AS crc FROM bits WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS raw FROM documents),
+k AS (
+  SELECT doc_id, length(raw) // 2 + 8 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(raw) // 2), lambda i: ('0x' || raw[2 * i + 1:2 * i + 2])::BIGINT)), lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32,
+    ('0x' || md5(text)[1:7])::BIGINT * 4294967296 + ('0x' || md5(concat_ws(':', doc_id::VARCHAR, length(text)::VARCHAR))[1:8])::BIGINT AS key
+  FROM d, lookup),
+p AS (SELECT *, sum(size) OVER (ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(size) OVER (PARTITION BY key) AS below, sum(size) OVER () AS total, greatest(8, ceil((sum(size) OVER ()) / 24 / 67108864))::BIGINT AS per FROM k),
+q AS (SELECT *, (below * (24 * per)) // total // per AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM q
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix": op1_mix, "op2_matroska": op2_matroska, "op3_secrets": op3_secrets, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_fuzzy_lines": op6_fuzzy_lines, "op7_shards": op7_shards, "op8_tool_calls": op8_tool_calls, "op9_simhash": op9_simhash, "op10_language": op10_language}
-ORACLES: dict[str, str] = {"op1_mix": OP1_SQL, "op8_tool_calls": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_mix": OP1_SQL, "op4_decontaminate": OP4_SQL, "op7_shards": OP7_SQL, "op8_tool_calls": OP8_SQL}
