@@ -18,10 +18,20 @@ SENT = 500_000
 ROUNDS = 3
 
 
+def _cut(line: Column) -> Column:
+    cut = F.regexp_extract_all(line, F.lit(r"(?<!\S)(?=(\S+(?:\s.{0,%d})?))" % CONTEXT), F.lit(1))
+    return F.transform(cut, lambda s: F.xxhash64(s))
+
+
 def shingles(line: Column) -> Column:
     """Hashes of the distinct character shingles of a line: at each word, the word and the next CONTEXT characters."""
-    cut = F.regexp_extract_all(line, F.lit(r"(?<!\S)(?=(\S+(?:\s.{0,%d})?))" % CONTEXT), F.lit(1))
-    return F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s)))
+    return F.array_distinct(_cut(line))
+
+
+def _mask(i: int) -> int:
+    """The i-th 64-bit mask: hashes are ordered anew by flipping its bits. Multiples of the golden ratio spread over all leading bits."""
+    mask = (i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -58,12 +68,38 @@ def _across(members: DataFrame) -> DataFrame:
     return members.join(split, "key")
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (a, b) of ids in one bucket and different components; right has (key, other, other_label)."""
-    both = left.join(right, "key").where("label <> other_label")
+def _to_centres(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's centre of this turn, where their components differ."""
+    centre = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), F.col("id").alias("other"), F.col("label").alias("other_label"))).alias("c")
+    centres = members.groupBy("key").agg(centre).select("key", "c.other", "c.other_label")
+    both = members.join(centres, "key").where("label <> other_label")
     return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def _rest(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of different components that can still be similar enough.
+
+    Two sets of similarity ``least`` agree in one of their n - ceil(least n) + 1 rarest
+    shingles, whatever order of rarity both use, and their sizes are as near. What sets an
+    edited line apart is rare, so this leaves few pairs of the many that share a bucket.
+    Of a shingle's lines those of its commonest component are not paired with each other.
+    """
+    lines = texts.join(members.select("id", "label").distinct(), "id").select("id", "label", shingles(F.col("line")).alias("s"))
+    cut = saved(lines.select("id", "label", F.size("s").alias("n"), F.explode("s").alias("shingle")))
+    often = cut.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    kept = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
+    # A shingle of one line alone comes first in the order and meets no other line, so it only takes up room.
+    alone = cut.join(often, "shingle").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    room = kept - (F.col("n") - F.size("s"))
+    rare = saved(alone.where(room > 0).select("id", "label", "n", F.explode(F.slice("s", F.lit(1), room)).alias("s")).select("id", "label", "n", F.col("s.shingle").alias("shingle")))
+    counts = rare.groupBy("shingle", "label").agg(F.count("*").alias("lines"))
+    mixed = counts.groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("lines", "label")).alias("commonest")).where("labels > 1").select("shingle", "commonest")
+    fewer = rare.join(mixed, "shingle").where("label <> commonest").select("shingle", "id", "label", "n")
+    others = rare.select("shingle", F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"))
+    near = F.least("n", "other_n") >= least * F.greatest("n", "other_n") - 1e-9
+    return fewer.join(others, "shingle").where((F.col("label") != F.col("other_label")) & near).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
 def labelled(members: DataFrame, texts: DataFrame, least: float, rounds: int = ROUNDS) -> DataFrame:
     """(id, label): components of the links of at least ``least`` between ids that share a bucket of ``members`` (key, id)."""
     checked = _Checked(texts, least)
@@ -72,12 +108,7 @@ def labelled(members: DataFrame, texts: DataFrame, least: float, rounds: int = R
         now = saved(_across(members.join(labels, "id")))
         if now.isEmpty():
             break
-        if turn < rounds:
-            centre = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), F.col("id").alias("other"), F.col("label").alias("other_label"))).alias("c")
-            others = now.groupBy("key").agg(centre).select("key", "c.other", "c.other_label")
-            pairs = _pairs(now, others)
-        else:
-            pairs = _pairs(now, now.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))).where("a < b")
+        pairs = _to_centres(now, turn) if turn < rounds else _rest(now, texts, least)
         links = checked(pairs)
         of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
         united = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
@@ -96,15 +127,16 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS
 
     Candidates share a band of minimum hashes. In each bucket all are first compared with
     one centre, which unites large groups of near copies without listing their pairs;
-    after ``rounds`` such rounds with different centres, what still lies in different
-    components of a bucket is compared with each other, so no link in a bucket is missed.
+    after ``rounds`` such rounds with different centres, lines of buckets that still hold
+    several components are compared wherever their rarest shingles meet (see ``_rest``),
+    which no link can escape.
     Null texts have no lines; lines of repeated rows are told apart, so one is kept;
     further columns are ignored; no rows give none.
     """
     lines = lines_of(docs)
     seen = saved(lines.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "line_no", "h1", "h2"))
-    minima = [F.min(F.xxhash64("s", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = lines.select("h1", "h2", F.explode(shingles(F.col("line"))).alias("s")).groupBy("h1", "h2").agg(*minima)
+    minima = [F.min(F.col("s").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
+    signed = lines.select("h1", "h2", F.explode(_cut(F.col("line"))).alias("s")).groupBy("h1", "h2").agg(*minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
     signed = saved(signed.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", bands.alias("bands")))
     of_band = signed.select("id", F.explode("bands").alias("key"))
