@@ -9,6 +9,8 @@ from tidemark.llm import decontam, mixing, quality, sharding, simhash
 from tidemark.llm.common import saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Decisions meet their documents by a merge join at every size: one exchange of the texts, which grows in
+# proportion and needs no side in memory, rather than a broadcast that ends at some size.
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +27,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Rows without a doc_id take part but are only kept where their whole group has none;
     rows that repeat a doc_id that stays are kept once.
     """
-    groups = simhash.near_groups(docs)
-    groups = saved(groups)
-    heads = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    heads = saved(heads)
-    kept = docs.select(*COLUMNS).join(heads.select("doc_id"), "doc_id", "left_semi")
+    groups = saved(simhash.near_groups(docs))
+    heads = saved(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    kept = docs.select(*COLUMNS).join(heads.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not heads.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     nameless = groups.where("component_id IS NULL").groupBy("fp").agg(F.count("*").alias("n"))
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times."""
     mixed = mixing.fair_queue(docs)
     copies = saved(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")))
-    copied = docs.select(*COLUMNS).join(copies.where("copies > 0").withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
+    copied = docs.select(*COLUMNS).join(copies.where("copies > 0").withColumnRenamed("doc_id", "of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")))
     return copied.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
