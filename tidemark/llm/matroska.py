@@ -10,8 +10,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Element identifiers of the public EBML and Matroska specifications.
 EBML, DOC_TYPE, VOID, CRC = 0x1A45DFA3, 0x4282, 0xEC, 0xBF
@@ -26,6 +26,7 @@ FRAME = 576  # samples, and bytes, of a packet
 HERTZ = 48_000
 NANOS = FRAME * 1_000_000_000 // HERTZ
 LACED, PER_CLUSTER = 8, 64
+SLICE = 2 << 20  # bytes of texts or files that a worker turns over at once
 _MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE, CUE_PLACE}
 
 
@@ -236,15 +237,25 @@ def payload_of(text: str | None) -> bytes:
     return raw + b"\xff" * (-len(raw) % FRAME or (0 if raw else FRAME))
 
 
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of about SLICE bytes in ``column``, so that several copies of one fit in a worker."""
+    rows = max(1, batch.num_rows * SLICE // max(1, batch.column(column).nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def with_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text's bytes, padded by 255 to full packets, as the samples of a Matroska file."""
 
-    @F.pandas_udf("n_bytes long, media binary")
-    def store(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            yield pd.DataFrame({"n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in batch], "media": [mux(payload_of(t)) for t in batch]})
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([mux(payload_of(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", store("text").alias("s")).select("doc_id", "s.n_bytes", "s.media")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(store, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def summary(data: bytes | None) -> tuple[int, str, int, int, str, str]:
@@ -273,9 +284,12 @@ def digest(stored: DataFrame) -> DataFrame:
     """
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    def read(files: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in files:
-            yield pd.DataFrame([summary(x) for x in batch], columns=names)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, "media"):
+                rows = [summary(x.as_py()) for x in part.column("media")]
+                columns = [pa.array([r[k] for r in rows], pa.string() if k in (1, 4, 5) else pa.int64()) for k in range(6)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=["doc_id", "n_bytes", *names])
 
-    return stored.select("doc_id", "n_bytes", read("media").alias("r")).select("doc_id", "n_bytes", "r.*")
+    kind = stored.schema["doc_id"].dataType.simpleString()
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
