@@ -9,7 +9,7 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes handled at once; a longer document is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
