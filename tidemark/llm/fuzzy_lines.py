@@ -15,17 +15,16 @@ BANDS, ROWS = 8, 3
 #: Rows up to which a table of line keys is sent to all executors (about 50 bytes each); beyond, it is joined by exchange.
 SENT = 500_000
 #: Rounds of comparing with one centre a bucket before the rest is compared across components.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def _cut(line: Column) -> Column:
-    cut = F.regexp_extract_all(line, F.lit(r"(?<!\S)(?=(\S+(?:\s.{0,%d})?))" % CONTEXT), F.lit(1))
-    return F.transform(cut, lambda s: F.xxhash64(s))
+    return F.regexp_extract_all(line, F.lit(r"(?<!\S)(?=(\S+(?:\s.{0,%d})?))" % CONTEXT), F.lit(1))
 
 
 def shingles(line: Column) -> Column:
     """Hashes of the distinct character shingles of a line: at each word, the word and the next CONTEXT characters."""
-    return F.array_distinct(_cut(line))
+    return F.array_distinct(F.transform(_cut(line), lambda s: F.xxhash64(s)))
 
 
 def _mask(i: int) -> int:
@@ -80,8 +79,9 @@ def _rest(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b): every pair of different components that can still be similar enough.
 
     Two sets of similarity ``least`` agree in one of their n - ceil(least n) + 1 rarest
-    shingles, whatever order of rarity both use, and their sizes are as near. What sets an
-    edited line apart is rare, so this leaves few pairs of the many that share a bucket.
+    shingles, whatever order of rarity both use, and from the first such on enough must be
+    left in both to share least / (1 + least) of their sizes' sum. What sets an edited line
+    apart is rare, so this leaves few pairs of the many that share a bucket.
     Of a shingle's lines those of its commonest component are not paired with each other.
     """
     lines = texts.join(members.select("id", "label").distinct(), "id").select("id", "label", shingles(F.col("line")).alias("s"))
@@ -91,12 +91,14 @@ def _rest(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     # A shingle of one line alone comes first in the order and meets no other line, so it only takes up room.
     alone = cut.join(often, "shingle").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("s"))
     room = kept - (F.col("n") - F.size("s"))
-    rare = saved(alone.where(room > 0).select("id", "label", "n", F.explode(F.slice("s", F.lit(1), room)).alias("s")).select("id", "label", "n", F.col("s.shingle").alias("shingle")))
+    prefix = alone.where(room > 0).select("id", "label", "n", F.size("s").alias("met"), F.posexplode(F.slice("s", F.lit(1), room)).alias("place", "s"))
+    # How many of a line's shingles are no rarer than this one, itself included: no more can be shared from here on.
+    rare = saved(prefix.select("id", "label", "n", (F.col("met") - F.col("place")).alias("ahead"), F.col("s.shingle").alias("shingle")))
     counts = rare.groupBy("shingle", "label").agg(F.count("*").alias("lines"))
     mixed = counts.groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("lines", "label")).alias("commonest")).where("labels > 1").select("shingle", "commonest")
-    fewer = rare.join(mixed, "shingle").where("label <> commonest").select("shingle", "id", "label", "n")
-    others = rare.select("shingle", F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"))
-    near = F.least("n", "other_n") >= least * F.greatest("n", "other_n") - 1e-9
+    fewer = rare.join(mixed, "shingle").where("label <> commonest").select("shingle", "id", "label", "n", "ahead")
+    others = rare.select("shingle", F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("ahead").alias("other_ahead"))
+    near = F.least("ahead", "other_ahead") >= F.lit(least / (1 + least)) * (F.col("n") + F.col("other_n")) - 1e-9
     return fewer.join(others, "shingle").where((F.col("label") != F.col("other_label")) & near).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
@@ -136,7 +138,8 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS
     lines = lines_of(docs)
     seen = saved(lines.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "line_no", "h1", "h2"))
     minima = [F.min(F.col("s").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = lines.select("h1", "h2", F.explode(_cut(F.col("line"))).alias("s")).groupBy("h1", "h2").agg(*minima)
+    cut = lines.select("h1", "h2", F.explode(_cut(F.col("line"))).alias("s")).select("h1", "h2", F.xxhash64("s").alias("s"))
+    signed = cut.groupBy("h1", "h2").agg(*minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
     signed = saved(signed.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", bands.alias("bands")))
     of_band = signed.select("id", F.explode("bands").alias("key"))
