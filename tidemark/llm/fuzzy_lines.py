@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import components, saved
 
 SIMILARITY = 0.8
-#: Characters of context that a shingle takes after its first word.
-CONTEXT = 8
+#: Characters of a shingle. One starts at every character that has so many left; a shorter line is one shingle.
+WIDTH = 5
+#: Characters that are cut at once: substrings of a piece are cheap, of a long line each costs its offset.
+PIECE = 32
 #: Bands and minimum hashes in one: two lines of similarity s share a band with chance 1 - (1 - s**ROWS)**BANDS, 0.997 at 0.8.
 BANDS, ROWS = 8, 3
 #: Rows up to which a table of line keys is sent to all executors (about 50 bytes each); beyond, it is joined by exchange.
@@ -18,13 +20,18 @@ SENT = 500_000
 ROUNDS = 2
 
 
-def _cut(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(r"(?<!\S)(?=(\S+(?:\s.{0,%d})?))" % CONTEXT), F.lit(1))
+def shingles(line: Column) -> Column:
+    """Hashes of the distinct character shingles of a line: WIDTH characters from each place, or the whole of a shorter line."""
+    cut = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}|^.{1,%d}\z))." % (WIDTH, WIDTH - 1)), F.lit(1))
+    return F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s)))
 
 
-def shingles(line: Column) -> Column:
-    """Hashes of the distinct character shingles of a line: at each word, the word and the next CONTEXT characters."""
-    return F.array_distinct(F.transform(_cut(line), lambda s: F.xxhash64(s)))
+def exploded(lines: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, s): a row for each hash that ``shingles`` has, repeats included, without an array of them."""
+    pieces = F.regexp_extract_all("line", F.lit(r"(?s)(?=(.{%d,%d}|^.{1,%d}\z)).{1,%d}" % (WIDTH, PIECE + WIDTH - 1, WIDTH - 1, PIECE)), F.lit(1))
+    cut = lines.select(*keys, F.explode(pieces).alias("piece"))
+    cut = cut.select(*keys, "piece", F.explode(F.sequence(F.lit(1), F.greatest(F.length("piece") - (WIDTH - 1), F.lit(1)))).alias("at"))
+    return cut.select(*keys, F.xxhash64(F.substr("piece", "at", F.lit(WIDTH))).alias("s"))
 
 
 def _mask(i: int) -> int:
@@ -138,8 +145,7 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS
     lines = lines_of(docs)
     seen = saved(lines.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "line_no", "h1", "h2"))
     minima = [F.min(F.col("s").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    cut = lines.select("h1", "h2", F.explode(_cut(F.col("line"))).alias("s")).select("h1", "h2", F.xxhash64("s").alias("s"))
-    signed = cut.groupBy("h1", "h2").agg(*minima)
+    signed = exploded(lines, "h1", "h2").groupBy("h1", "h2").agg(*minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
     signed = saved(signed.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", bands.alias("bands")))
     of_band = signed.select("id", F.explode("bands").alias("key"))
