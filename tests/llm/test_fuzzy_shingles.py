@@ -42,3 +42,13 @@ def test_query_against_all_pairs_of_the_definition(spark, small, monkeypatch):
     got, want = pairs_of_all.as_map(queries.op6_fuzzy_lines(spark, small).collect()), pairs_of_all.slow(docs)
     assert set(got) == set(want)
     assert sum(got[k] != want[k] for k in want) <= 0.003 * len(want)
+
+
+def test_recall_of_short_lines_at_the_least_similarity(spark):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    cut = [(w, w[:8]) for w in (word(9) for _ in range(1000))]
+    edited = [(w, w[:12] + "#") for w in (word(13) for _ in range(1000))]
+    for pairs in (cut, edited):
+        assert all(len(grams(a) & grams(b)) == 0.8 * len(grams(a) | grams(b)) for a, b in pairs)
+        assert sum(linked(spark, pairs)) >= 990

@@ -34,12 +34,6 @@ def exploded(lines: DataFrame, *keys: str) -> DataFrame:
     return cut.select(*keys, F.xxhash64(F.substr("piece", "at", F.lit(WIDTH))).alias("s"))
 
 
-def _mask(i: int) -> int:
-    """The i-th 64-bit mask: hashes are ordered anew by flipping its bits. Multiples of the golden ratio spread over all leading bits."""
-    mask = (i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, h1, h2): the lines of every text, lower-cased and trimmed, with a 128-bit key. Blank lines are left out."""
     line = F.lower(F.trim("raw"))
@@ -144,7 +138,8 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS
     """
     lines = lines_of(docs)
     seen = saved(lines.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "line_no", "h1", "h2"))
-    minima = [F.min(F.col("s").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)]
+    # Each minimum has a hash of its own: one hash under masks gives minima that depend on each other where a line has few shingles.
+    minima = [F.min(F.xxhash64("s", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
     signed = exploded(lines, "h1", "h2").groupBy("h1", "h2").agg(*minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
     signed = saved(signed.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", bands.alias("bands")))
