@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,10 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}" % TOKEN
 ENCODINGS = (("hex", r"^[0-9a-f]+$", "0123456789abcdef"), ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF"), ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
 #: Natural text: chance that two letters of it agree, that three do, and the share of its letters that are hex digits.
 REPEAT, TRIPLE, HEX_SHARE = 0.0667, 0.0054, 0.27
+#: Natural tokens as a chain of classes (upper, lower, digit, symbol; the last row is for the first character): chances of the next class, and below of the letters in a class.
+CHAIN = ((0.66, 0.25, 0.04, 0.05), (0.04, 0.87, 0.03, 0.06), (0.08, 0.12, 0.6, 0.2), (0.2, 0.6, 0.1, 0.1), (0.25, 0.6, 0.05, 0.1))
+#: Letters of English, a to z, in hundredths of a per cent; SPREAD of their chance is dealt evenly instead, for names and other languages.
+LETTERS, SPREAD = (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7), 0.1
 #: A token counts as random unless the battery rejects it at this level, corrected for its three tests.
 LEVEL = 0.001
 #: False-discovery rate among the tokens that are called random, held in each class of lengths by itself.
@@ -123,12 +128,38 @@ def battery(token: Column) -> Column:
     return let(let(named, read), tests)
 
 
+def _costs() -> list[float]:
+    """Log chances of natural text: 64 characters (in base64's order) after each class, then 64 for a first character."""
+    letter = [(1 - SPREAD) * x / sum(LETTERS) + SPREAD / 26 for x in LETTERS]
+    within = [(c, p) for c, ps in enumerate((letter, letter, [0.1] * 10, [0.5] * 2)) for p in ps]
+    return [math.log(row[c] * p) for row in CHAIN for c, p in within]
+
+
+def p_natural(token: Column, t: Column) -> Column:
+    """Bound on the chance that natural text is so much likelier under the uniform law of the token's encoding than under its own.
+
+    A likelihood ratio Q / P has mean 1 under P, so P(Q / P >= x) <= 1 / x at every length
+    (Markov). P is the chain of classes and letters above, so alternating cases and digits
+    and rare letters both count. Tokens that the battery rejects are given 1: only what
+    can be reported takes part in the false-discovery correction as a discovery.
+    """
+    values = F.transform(F.split(F.translate(token, "-_", "+/"), ""), lambda c: F.instr(F.lit(ENCODINGS[-1][2]), c) - 1)
+    costs = F.array(*[F.lit(x) for x in _costs()])
+    zero = F.struct(F.lit(4).alias("after"), F.lit(0.0).alias("log"))
+    of = lambda v: F.when(v < 26, 0).when(v < 52, 1).when(v < 62, 2).otherwise(3)
+    log = F.aggregate(values, zero, lambda a, v: F.struct(of(v).alias("after"), (a["log"] + F.get(costs, a["after"] * 64 + v)).alias("log")))["log"]
+    sizes = F.create_map(*[F.lit(x) for name, _, letters in ENCODINGS for x in (name, float(len(letters)))])
+    ratio = log + t["n"] * F.log(F.element_at(sizes, t["encoding"]))
+    return F.when(_survives(t), F.exp(F.least(ratio, F.lit(0.0)))).otherwise(1.0)
+
+
 def _survives(t: Column) -> Column:
     return 3 * F.least(t["p_chi"], t["p_runs"], t["p_serial"]) >= LEVEL
 
 
-def _class(n: Column) -> Column:
-    return F.floor(F.log2(n)).cast("int")
+def _class(t: Column) -> Column:
+    """Encoding and length class, in which the false-discovery rate is held."""
+    return F.concat_ws(":", t["encoding"], F.floor(F.log2(t["n"])).cast("int").cast("string"))
 
 
 def _bin(p: Column) -> Column:
@@ -136,12 +167,12 @@ def _bin(p: Column) -> Column:
     return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * _BINS), F.lit(300 * _BINS)).cast("int")
 
 
-def bars(tested: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """By length class the least bin that is called random: Benjamini and Hochberg's step-up over all of the class's tokens.
+def bars(tested: DataFrame, rate: float = RATE) -> dict[str, int]:
+    """By encoding and length class the least bin that is called random: Benjamini and Hochberg's step-up over all of the class's tokens.
 
-    One aggregate over (n, p_text, passes) rows; what comes back has at most 31 classes times 6001 bins.
+    One aggregate over (t, p) rows; what comes back has at most 31 classes an encoding times 6001 bins.
     """
-    counted = tested.groupBy(_class(F.col("n")).alias("c"), _bin(F.col("p_text")).alias("b")).count().collect()
+    counted = tested.groupBy(_class(F.col("t")).alias("c"), _bin(F.col("p")).alias("b")).count().collect()
     out = {}
     for c in {r["c"] for r in counted}:
         own = sorted(((r["b"], r["count"]) for r in counted if r["c"] == c), reverse=True)
@@ -174,11 +205,12 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
         exact = pattern if gate is None else f"AKIA[A-Z0-9]{{{least - 4},}}" if "AKIA" in pattern else f"[0-9a-f]{{{least},}}"
         base.append(_base_spans(located(text, exact, group), order, least))
     tokens = F.transform(located(text, CANDIDATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), battery(s["value"]).alias("t")))
+    tokens = F.transform(tokens, lambda s: s.withField("p", p_natural(s["value"], s["t"])))
     rows = saved(docs.select("doc_id", F.concat(*base).alias("base"), tokens.alias("tokens")))
-    limits = bars(rows.select(F.explode("tokens.t").alias("t")).select("t.n", "t.p_text"), rate)
-    bar = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map().cast("map<int,int>")
+    limits = bars(rows.select(F.explode("tokens").alias("s")).select("s.t", "s.p"), rate)
+    bar = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map().cast("map<string,int>")
     inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    random = F.filter("tokens", lambda s: _survives(s["t"]) & F.coalesce(_bin(s["t"]["p_text"]) >= F.element_at(bar, _class(s["t"]["n"])), F.lit(False)) & ~inside(s))
+    random = F.filter("tokens", lambda s: _survives(s["t"]) & F.coalesce(_bin(s["p"]) >= F.element_at(bar, _class(s["t"])), F.lit(False)) & ~inside(s))
     named = F.transform(random, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["t"]["encoding"].alias("detail")))
     spans = F.array_sort(F.concat("base", named))
     return rows.select("doc_id", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["detail"].alias("detail"))).alias("spans"))
