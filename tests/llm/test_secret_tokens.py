@@ -38,3 +38,14 @@ def test_rare_short_keys_among_natural_tokens(spark):
     got = found(spark, keys, rng)
     assert sum(k in got for k in keys) >= 0.9 * len(keys)
     assert len(got - set(keys)) <= 0.05 * len(got)
+
+
+def test_long_keys_of_further_alphabets(spark):
+    rng = random.Random(8)
+    lower, digits = string.ascii_lowercase, string.digits
+    base58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+    alphabets = (lower + "234567", lower + digits, lower.upper() + digits, base58, string.ascii_letters + digits, digits)
+    keys = {i: ["".join(rng.choices(a, k=n)) for n in (20, 24, 32, 48, 56, 64, 80, 100) for _ in range(4)] for i, a in enumerate(alphabets)}
+    got = found(spark, [k for own in keys.values() for k in own], rng, 1000)
+    missed = {i: sum(k not in got for k in own) for i, own in keys.items()}
+    assert max(missed.values()) <= 3, missed

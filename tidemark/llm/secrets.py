@@ -20,7 +20,18 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN = 20
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}" % TOKEN
 # Inferred encodings by the narrowest alphabet that holds the token.
-ENCODINGS = (("hex", r"^[0-9a-f]+$", "0123456789abcdef"), ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF"), ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+ENCODINGS = (
+    ("decimal", r"^[0-9]+$", "0123456789"),
+    ("hex", r"^[0-9a-f]+$", "0123456789abcdef"),
+    ("HEX", r"^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("base32", r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    ("base32 lower", r"^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
+    ("base36 lower", r"^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("base36", r"^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("base58", r"^[1-9A-HJ-NP-Za-km-z]+$", "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"),
+    ("base62", r"^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
+    ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+)
 #: Natural text: chance that two letters of it agree, that three do, and the share of its letters that are hex digits.
 REPEAT, TRIPLE, HEX_SHARE = 0.0667, 0.0054, 0.27
 #: Natural tokens as a chain of classes (upper, lower, digit, symbol; the last row is for the first character): chances of the next class, and below of the letters in a class.
@@ -121,7 +132,7 @@ def battery(token: Column) -> Column:
         p_serial = F.when(varies <= 1e-9, 0.0).otherwise(2 * upper_tail(F.abs(serial / F.greatest(varies, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))
         agree = (c2 - n) / (n * (n - 1))
         sd = F.sqrt(2 * REPEAT * (1 - REPEAT) / (n * (n - 1)) + 4 * (n - 2) / (n * (n - 1)) * (TRIPLE - REPEAT * REPEAT))
-        p_text = F.when(r["which"] <= 1, F.pow(F.lit(HEX_SHARE), n)).otherwise(upper_tail((F.lit(REPEAT) - agree) / sd))
+        p_text = F.when(k == 16, F.pow(F.lit(HEX_SHARE), n)).otherwise(upper_tail((F.lit(REPEAT) - agree) / sd))
         return F.struct(pick(r["which"], [e for e, _, _ in ENCODINGS]).alias("encoding"), a["n"].alias("n"), upper_tail(z_chi).alias("p_chi"), p_runs.alias("p_runs"), p_serial.alias("p_serial"), p_text.alias("p_text"))
 
     named = let(F.struct(clean.alias("text"), which.alias("which")), lambda t: F.struct(t["text"].alias("text"), t["which"].alias("which"), pick(t["which"], [x for _, _, x in ENCODINGS]).alias("alphabet"), pick(t["which"], [len(x) for _, _, x in ENCODINGS]).alias("k")))
