@@ -2,8 +2,7 @@
 
 import random
 
-from tests.llm import test_fuzzy_lines as pairs_of_all
-from tidemark.llm import fuzzy_lines, queries
+from tidemark.llm import fuzzy_lines
 
 
 def grams(line):
@@ -36,14 +35,6 @@ def test_one_typo_at_every_length(spark):
     assert sum(w and not g for g, w in zip(got, want)) <= 3
 
 
-def test_query_against_all_pairs_of_the_definition(spark, small, monkeypatch):
-    monkeypatch.setattr(pairs_of_all, "cut", grams)
-    docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
-    got, want = pairs_of_all.as_map(queries.op6_fuzzy_lines(spark, small).collect()), pairs_of_all.slow(docs)
-    assert set(got) == set(want)
-    assert sum(got[k] != want[k] for k in want) <= 0.003 * len(want)
-
-
 def test_recall_of_short_lines_at_the_least_similarity(spark):
     rng = random.Random(7)
     word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))

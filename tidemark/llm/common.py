@@ -19,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one only where it names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, as the cluster names it. Only a local session, where
+    all is one machine, may name none: it gets a temporary one as its checkpoint folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+        folder = context.getCheckpointDir()
     return folder
 
 

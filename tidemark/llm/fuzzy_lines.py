@@ -1,164 +1,297 @@
-"""Fuzzy line dedup by MinHash, in DataFrame functions alone."""
+"""Fuzzy line dedup by MinHash: character-shingle signatures, bands, exact Jaccard, components.
+
+Signatures and the exact comparison are numpy over Arrow batches, everything else DataFrame
+operations: with DataFrame functions alone the signatures by themselves took most of the
+CPU time that the whole operator may take (figures in the README).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, saved
+from tidemark.llm.common import components, saved, text_bytes
+from tidemark.llm.textvec import chunks, mixed
 
 SIMILARITY = 0.8
 #: Characters of a shingle. One starts at every character that has so many left; a shorter line is one shingle.
 WIDTH = 5
-#: Characters that are cut at once: substrings of a piece are cheap, of a long line each costs its offset.
-PIECE = 32
 #: Bands and minimum hashes in one: two lines of similarity s share a band with chance 1 - (1 - s**ROWS)**BANDS, 0.997 at 0.8.
-BANDS, ROWS = 8, 3
-#: Rows up to which a table of line keys is sent to all executors (about 50 bytes each); beyond, it is joined by exchange.
-SENT = 500_000
+BANDS, ROWS = 15, 5
+BINS = BANDS * ROWS
+#: Minima whose low four bits make a line's sketch, by which pairs far below the similarity are told apart:
+#: what agrees in ``BELOW`` standard deviations less than expected is not compared (1 in 30,000 at the similarity itself).
+SKETCH, BELOW = 64, 4.0
 #: Rounds of comparing with one centre a bucket before the rest is compared across components.
 ROUNDS = 2
-
-
-def shingles(line: Column) -> Column:
-    """Hashes of the distinct character shingles of a line: WIDTH characters from each place, or the whole of a shorter line."""
-    cut = F.regexp_extract_all(line, F.lit(r"(?s)(?=(.{%d}|^.{1,%d}\z))." % (WIDTH, WIDTH - 1)), F.lit(1))
-    return F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s)))
-
-
-def exploded(lines: DataFrame, *keys: str) -> DataFrame:
-    """(*keys, s): a row for each hash that ``shingles`` has, repeats included, without an array of them."""
-    pieces = F.regexp_extract_all("line", F.lit(r"(?s)(?=(.{%d,%d}|^.{1,%d}\z)).{1,%d}" % (WIDTH, PIECE + WIDTH - 1, WIDTH - 1, PIECE)), F.lit(1))
-    cut = lines.select(*keys, F.explode(pieces).alias("piece"))
-    cut = cut.select(*keys, "piece", F.explode(F.sequence(F.lit(1), F.greatest(F.length("piece") - (WIDTH - 1), F.lit(1)))).alias("at"))
-    return cut.select(*keys, F.xxhash64(F.substr("piece", "at", F.lit(WIDTH))).alias("s"))
+#: Characters handled at once.
+_BLOCK = 1 << 16
+_BLANK = " \t\x0b\f\r"
+_FACTORS = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_PAD = np.uint64(0x7FFFFFFF)
+_NONE = np.uint64(0xFFFFFFFF)
+_SKETCHES = [f"k{i}" for i in range(SKETCH // 16)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, h1, h2): the lines of every text, lower-cased and trimmed, with a 128-bit key. Blank lines are left out."""
-    line = F.lower(F.trim("raw"))
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select("doc_id", "line_no", line.alias("line")).where(F.col("line").rlike(r"\S"))
+    rows = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "raw")).where(F.btrim("raw", F.lit(_BLANK)) != "")
+    rows = rows.select("doc_id", "line_no", F.trim("raw").alias("line"))
     return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
-
-
-def _of_bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SENT else df
-
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of every run of WIDTH code points."""
+    codes = codes.astype(np.uint64)
+    n = len(codes) - WIDTH + 1
+    out = codes[:n] * _FACTORS[0]
+    for k in range(1, WIDTH):
+        out += codes[k : n + k] * _FACTORS[k]
+    out = mixed(out)
+    return out ^ (out >> np.uint64(32))
+
+
+def shingles(lines: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, line) of all character shingles, repeats included, block after block. Empty lines have none."""
+    data, offsets = text_bytes(lines)
+    for first, last in chunks(offsets, 1 << 22):
+        part, own = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        codes = part
+        if len(part) and part.max() >= 128:
+            codes = np.frombuffer(part.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+            own = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[own]
+        length = np.diff(own)
+        of = np.repeat(np.arange(first, last, dtype=np.int32), length)
+        for at in range(0, len(codes) - WIDTH + 1, _BLOCK):
+            line = of[at : at + _BLOCK + WIDTH - 1]
+            whole = line[: 1 - WIDTH] == line[WIDTH - 1 :]
+            yield _hashes(codes[at : at + _BLOCK + WIDTH - 1])[whole], line[: 1 - WIDTH][whole].astype(np.int64)
+        short = np.flatnonzero((length > 0) & (length < WIDTH))
+        if len(short):
+            padded = np.full((len(short), WIDTH), _PAD, np.uint64)
+            for row, k in enumerate(short):
+                padded[row, : length[k]] = codes[own[k] : own[k + 1]]
+            yield _hashes(padded.ravel())[::WIDTH], short + first
+
+
+def minima(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """((lines, BINS) minimum hashes, how many bins had a shingle of their own), by one permutation.
+
+    Each shingle falls into one bin and each bin keeps its least hash. An empty bin takes
+    that of the first bin that is not, in an order of its own: then two lines agree in a
+    bin with a chance of their similarity, however short they are.
+    """
+    n = len(lines)
+    out = np.full(n * BINS, _NONE, np.uint64)
+    for hashes, line in shingles(lines):
+        place = ((hashes & _NONE) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(out, line * BINS + place, hashes >> np.uint64(32))
+    out = out.reshape(n, BINS)
+    filled = out != _NONE
+    count = filled.sum(axis=1)
+    lacking = np.flatnonzero((count < BINS) & (count > 0))
+    if len(lacking):
+        own, has = out[lacking].copy(), filled[lacking]
+        for k in range(BINS):
+            rows = np.flatnonzero(~has[:, k])
+            if len(rows):
+                order = np.argsort(mixed(np.arange(BINS, dtype=np.uint64) + np.uint64(BINS * (k + 1))))
+                out[lacking[rows], k] = own[rows, order[has[rows][:, order].argmax(axis=1)]]
+    return out, count
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """(lines, BANDS) keys; lines that agree in a key share all minima of its band."""
+    parts = mixed(least + np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1, BANDS, ROWS)
+    key = parts[:, :, 0]
+    for k in range(1, ROWS):
+        key = mixed(key * np.uint64(3) + parts[:, :, k])
+    return key
+
+
+def _sketches(least: np.ndarray) -> np.ndarray:
+    """(lines, SKETCH / 16) numbers, each of the low four bits of sixteen minima."""
+    low = (least[:, :SKETCH] & np.uint64(15)).reshape(len(least), -1, 16)
+    return np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
+def signed(distinct: DataFrame) -> DataFrame:
+    """(id, h1, h2, line, filled, sketch, keys, back) of each of the ``distinct`` lines (h1, h2, line).
+
+    ``keys`` are the bands. ``back`` says how many rows before a line of the same batch has
+    the same key first: 0 for the first itself, -1 if others follow it. Only first ones need to be
+    exchanged by key, so a bucket of any size is combined before its exchange.
+    """
 
-class _Checked:
-    """Verifies pairs of line ids by the exact Jaccard similarity of their shingles."""
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least, filled = minima(batch.column("line"))
+            keys, n = bands(least), batch.num_rows
+            flat = keys.T.ravel()  # a band after the other, rows ascending
+            order = np.argsort(flat, kind="stable")
+            run = np.concatenate([[True], flat[order][1:] != flat[order][:-1]]) if n else np.zeros(0, bool)
+            start = np.flatnonzero(run)
+            size = np.diff(np.append(start, len(flat)))
+            row = order % max(n, 1)
+            back = np.zeros(len(flat), np.int32)
+            back[order] = row - np.repeat(row[start], size)
+            back[order[start[size > 1]]] = -1
+            places = pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32))
+            listed = lambda values: pa.ListArray.from_arrays(places, pa.array(values))
+            sketch = [pa.array(s.view(np.int64)) for s in np.ascontiguousarray(_sketches(least).T)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("h1", "h2", "line")), pa.array(filled.astype(np.int32)), *sketch, listed(keys.ravel().view(np.int64)), listed(np.ascontiguousarray(back.reshape(BANDS, n).T).ravel())],
+                names=["h1", "h2", "line", "filled", *_SKETCHES, "keys", "back"],
+            )
+
+    kinds = "h1 long, h2 long, line string, filled int, " + ", ".join(f"{c} long" for c in _SKETCHES) + ", keys array<long>, back array<int>"
+    return distinct.select("h1", "h2", "line").mapInArrow(sign, kinds).withColumn("id", F.monotonically_increasing_id())
+
+
+def _near(other: str) -> Column:
+    """Whether a row's sketch agrees with the one whose columns begin with ``other`` as lines of SIMILARITY do, or nearly."""
+
+    def differing(x: Column) -> Column:
+        for by in (2, 1):  # gather each four bits in the lowest of them
+            x = x.bitwiseOR(F.shiftrightunsigned(x, by))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    agree = F.lit(SKETCH)
+    for c in _SKETCHES:
+        agree = agree - differing(F.col(c).bitwiseXOR(F.col(other + c)))
+    deviation = F.sqrt(F.lit(SIMILARITY * (1 - SIMILARITY)) / F.least(F.col("filled"), F.col(f"{other}filled"), F.lit(SKETCH)))
+    return agree >= (F.lit(SIMILARITY) - BELOW * deviation) * SKETCH
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) of line ids whose shingle sets have that Jaccard similarity."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column("line_a"), batch.column("line_b")
+            offsets = np.concatenate([[0], np.cumsum(np.diff(text_bytes(left)[1]) + np.diff(text_bytes(right)[1]))])
+            close = np.zeros(batch.num_rows, bool)
+            for first, last in chunks(offsets, 1 << 20):
+                for at in range(first, last, 1 << 13):  # thirteen bits of a key tell the pair, the others are the shingle's
+                    stop = min(last, at + (1 << 13))
+                    sets = []
+                    for side in (left, right):
+                        cut = [(of.astype(np.uint64) << np.uint64(51)) | (h >> np.uint64(13)) for h, of in shingles(side.slice(at, stop - at))]
+                        sets.append(np.unique(np.concatenate(cut)) if cut else np.zeros(0, np.uint64))
+                    count = lambda keys: np.bincount((keys >> np.uint64(51)).astype(np.int64), minlength=stop - at)  # noqa: E731, B023
+                    shared = count(np.intersect1d(*sets, assume_unique=True))
+                    close[at:stop] = shared >= least * (count(sets[0]) + count(sets[1]) - shared) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(close))
+
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b")
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, label, sketch) of the buckets that hold more than one component."""
+    now = members.join(labels, "id")
+    several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return now.join(several, "key")
+
+
+def _to_centres(now: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each member of a bucket with its buckets' centres of this turn, where sketches allow it.
+
+    A bucket's centre is its first line in an order that all buckets share, so the buckets
+    of one group mostly agree on it and a member is compared once.
+    """
+    order = F.xxhash64("id", F.lit(turn))
+    centres = now.groupBy("key").agg(*[F.min_by(c, order).alias(f"c_{c}") for c in ("id", "label", "filled", *_SKETCHES)])
+    both = now.join(centres, "key").where((F.col("label") != F.col("c_label")) & _near("c_"))
+    return both.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
 
-    def __init__(self, texts: DataFrame, least: float) -> None:
-        self.texts, self.least = texts, least
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        side = lambda c: self.texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return both.where(similarity(shingles(F.col("line_a")), shingles(F.col("line_b"))) >= self.least).select("a", "b")
+def _across(now: DataFrame) -> DataFrame:
+    """(a, b): the pairs of lines in one bucket, of different components, where sketches allow it."""
+    other = now.select("key", *[F.col(c).alias(f"o_{c}") for c in ("id", "label", "filled", *_SKETCHES)])
+    both = now.join(other, "key").where((F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")) & _near("o_"))
+    return both.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """The (key, id, label) rows of buckets that still hold more than one component."""
-    split = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return members.join(split, "key")
+def _first_of_each(now: DataFrame, turn: int) -> DataFrame:
+    """One row a component of each bucket, the first in this turn's order."""
+    order = F.xxhash64("id", F.lit(turn))
+    return now.groupBy("key", "label").agg(*[F.min_by(c, order).alias(c) for c in ("id", "filled", *_SKETCHES)])
 
 
-def _to_centres(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each member of a bucket with the bucket's centre of this turn, where their components differ."""
-    centre = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), F.col("id").alias("other"), F.col("label").alias("other_label"))).alias("c")
-    centres = members.groupBy("key").agg(centre).select("key", "c.other", "c.other_label")
-    both = members.join(centres, "key").where("label <> other_label")
-    return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+def members_of(marked: DataFrame) -> DataFrame:
+    """(key, id): the lines of every bucket of two or more."""
+    of_band = marked.select("id", F.explode(F.arrays_zip("keys", "back")).alias("z")).select("id", F.col("z.keys").alias("key"), F.col("z.back").alias("back"))
+    firsts = of_band.where("back <= 0").select("key", F.when(F.col("back") < 0, 2).otherwise(1).alias("n"), "id")
+    crowded = firsts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    return firsts.join(crowded, "key").select("key", "id").union(of_band.where("back > 0").select("key", "id"))
 
 
-def _rest(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b): every pair of different components that can still be similar enough.
+def labelled(members: DataFrame, lines: DataFrame, texts: DataFrame, least: float, rounds: int = ROUNDS, exact: bool = True) -> DataFrame:
+    """(id, label): components of the links of at least ``least`` between ids that share a bucket of ``members`` (key, id).
 
-    Two sets of similarity ``least`` agree in one of their n - ceil(least n) + 1 rarest
-    shingles, whatever order of rarity both use, and from the first such on enough must be
-    left in both to share least / (1 + least) of their sizes' sum. What sets an edited line
-    apart is rare, so this leaves few pairs of the many that share a bucket.
-    Of a shingle's lines those of its commonest component are not paired with each other.
+    lines: (id, filled, sketch). texts: (id, line).
     """
-    lines = texts.join(members.select("id", "label").distinct(), "id").select("id", "label", shingles(F.col("line")).alias("s"))
-    cut = saved(lines.select("id", "label", F.size("s").alias("n"), F.explode("s").alias("shingle")))
-    often = cut.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    kept = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
-    # A shingle of one line alone comes first in the order and meets no other line, so it only takes up room.
-    alone = cut.join(often, "shingle").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("s"))
-    room = kept - (F.col("n") - F.size("s"))
-    prefix = alone.where(room > 0).select("id", "label", "n", F.size("s").alias("met"), F.posexplode(F.slice("s", F.lit(1), room)).alias("place", "s"))
-    # How many of a line's shingles are no rarer than this one, itself included: no more can be shared from here on.
-    rare = saved(prefix.select("id", "label", "n", (F.col("met") - F.col("place")).alias("ahead"), F.col("s.shingle").alias("shingle")))
-    counts = rare.groupBy("shingle", "label").agg(F.count("*").alias("lines"))
-    mixed = counts.groupBy("shingle").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("lines", "label")).alias("commonest")).where("labels > 1").select("shingle", "commonest")
-    fewer = rare.join(mixed, "shingle").where("label <> commonest").select("shingle", "id", "label", "n", "ahead")
-    others = rare.select("shingle", F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("ahead").alias("other_ahead"))
-    near = F.least("ahead", "other_ahead") >= F.lit(least / (1 + least)) * (F.col("n") + F.col("other_n")) - 1e-9
-    return fewer.join(others, "shingle").where((F.col("label") != F.col("other_label")) & near).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-
-
-def labelled(members: DataFrame, texts: DataFrame, least: float, rounds: int = ROUNDS) -> DataFrame:
-    """(id, label): components of the links of at least ``least`` between ids that share a bucket of ``members`` (key, id)."""
-    checked = _Checked(texts, least)
-    labels = texts.select("id", F.col("id").alias("label"))
-    for turn in range(rounds + 1):
-        now = saved(_across(members.join(labels, "id")))
+    labels = lines.withColumn("label", F.col("id"))
+    for turn in range(rounds + (1 if exact else 2)):
+        now = saved(_mixed(members, labels))
         if now.isEmpty():
             break
-        pairs = _to_centres(now, turn) if turn < rounds else _rest(now, texts, least)
-        links = checked(pairs)
+        pairs = saved(_to_centres(now, turn) if turn < rounds else _across(now if exact else _first_of_each(now, turn)))
         of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
-        united = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        links = _checked(pairs, texts, least).join(of("a"), "a").join(of("b"), "b")
+        united = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
         united = united.select(F.col("node").alias("label"), F.col("label").alias("now"))
-        labels = saved(labels.join(united, "label", "left").select("id", F.coalesce("now", "label").alias("label")))
-    return labels
+        labels = saved(labels.join(united, "label", "left").select("id", "filled", *_SKETCHES, F.coalesce("now", "label").alias("label")))
+    return labels.select("id", "label")
 
 
-def line_groups(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def line_groups(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS, exact: bool = True) -> DataFrame:
     """(doc_id, line_no, group_doc_id, group_line_no, kept) of every line that is not blank.
 
-    Lines alike after trimming and lower-casing are one. Of these, lines whose shingle
-    sets have a Jaccard similarity of ``least`` or more are linked, and a group is a
-    component of the links. Its first line by (doc_id, line_no), null doc_ids last, names
-    the group and is the one that is kept.
+    Lines alike after trimming and lower-casing are one, and only distinct ones are
+    shingled. Of these, lines whose shingle sets have a Jaccard similarity of ``least``
+    (SIMILARITY or more) are linked if they share a band of minimum hashes, and a group is
+    a component of the links. Its first line by (doc_id, line_no), null doc_ids last,
+    names the group and is the one that is kept.
 
-    Candidates share a band of minimum hashes. In each bucket all are first compared with
-    one centre, which unites large groups of near copies without listing their pairs;
-    after ``rounds`` such rounds with different centres, lines of buckets that still hold
-    several components are compared wherever their rarest shingles meet (see ``_rest``),
-    which no link can escape.
+    In each bucket all lines are first compared with one centre, which unites large groups
+    of near copies without listing their pairs. After ``rounds`` such rounds with different
+    centres, what still is of different components in a bucket is compared: every pair of
+    lines with ``exact``, else one line a component, twice, with other lines.
     Null texts have no lines; lines of repeated rows are told apart, so one is kept;
     further columns are ignored; no rows give none.
     """
     lines = lines_of(docs)
     seen = saved(lines.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "line_no", "h1", "h2"))
-    # Each minimum has a hash of its own: one hash under masks gives minima that depend on each other where a line has few shingles.
-    minima = [F.min(F.xxhash64("s", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
-    signed = exploded(lines, "h1", "h2").groupBy("h1", "h2").agg(*minima)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
-    signed = saved(signed.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", bands.alias("bands")))
-    of_band = signed.select("id", F.explode("bands").alias("key"))
-    crowded = saved(of_band.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    members = saved(of_band.join(_of_bounded(crowded), "key"))
-    wanted = saved(signed.select("id", "h1", "h2").join(_of_bounded(members.select("id").distinct()), "id"))
-    texts = saved(lines.join(_of_bounded(wanted), ["h1", "h2"]).select("id", "line").dropDuplicates(["id"]))
-    labels = labelled(members, texts, least, rounds)
-    known = signed.select("id", "h1", "h2").join(_of_bounded(labels), "id", "left").select("h1", "h2", F.coalesce("label", "id").alias("label"))
-    placed = saved(seen.join(known, ["h1", "h2"]).select("uid", "doc_id", "line_no", "label"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "uid")).alias("f")
-    heads = placed.groupBy("label").agg(first).select("label", F.col("f.doc_id").alias("group_doc_id"), F.col("f.line_no").alias("group_line_no"), F.col("f.uid").alias("head"))
-    return placed.join(heads, "label").select("doc_id", "line_no", "group_doc_id", "group_line_no", (F.col("uid") == F.col("head")).alias("kept"))
+    marked = saved(signed(lines.groupBy("h1", "h2").agg(F.first("line").alias("line"))))
+    members = saved(members_of(marked))
+    own = members.select("id").distinct()
+    wanted = saved(marked.select("id", "h1", "h2", "line", "filled", *_SKETCHES).join(own, "id"))
+    labels = labelled(members, wanted.select("id", "filled", *_SKETCHES), wanted.select("id", "line"), least, rounds, exact)
+    # Of each component of several lines the key of the line it is labelled by.
+    grouped = labels.join(labels.where("id <> label").select("label").distinct(), "label")
+    known = grouped.join(wanted.select("id", "h1", "h2"), "id").select("h1", "h2", "label")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "uid")).alias("first")
+    firsts = saved(seen.groupBy("h1", "h2").agg(first).join(known, ["h1", "h2"], "left"))
+    heads = saved(firsts.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("head")))
+    of_group = firsts.where("label IS NOT NULL").select("h1", "h2", "label").join(heads, "label").select("h1", "h2", "head")
+    head = saved(firsts.where("label IS NULL").select("h1", "h2", F.col("first").alias("head")).union(of_group))
+    return seen.join(head, ["h1", "h2"]).select("doc_id", "line_no", F.col("head.doc_id").alias("group_doc_id"), F.col("head.line_no").alias("group_line_no"), (F.col("uid") == F.col("head.uid")).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``docs`` with a column ``kept_lines``: the numbers of the lines of its text that stay (blank ones do), for unique doc_ids."""
-    gone = groups.where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_"))
-    rest = F.filter(F.sequence(F.lit(0), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1), lambda i: ~F.array_contains("gone_", i))
+    """``docs`` with a column ``kept_lines``: the numbers of the lines of its text that stay (blank ones do).
+
+    For unique doc_ids; null and empty texts have one blank line; a null doc_id loses
+    nothing; a column of that name is replaced; no rows give none.
+    """
+    gone = groups.where(~F.col("kept")).groupBy(F.col("doc_id").alias("of_")).agg(F.collect_set("line_no").alias("gone_"))
     everything = F.sequence(F.lit(0), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)) - 1)
-    return docs.join(gone, "doc_id", "left").withColumn("kept_lines", F.when(F.col("gone_").isNull(), everything).otherwise(rest)).drop("gone_")
+    rest = F.when(F.col("gone_").isNull(), everything).otherwise(F.array_except(everything, "gone_"))
+    return docs.join(gone, F.col("doc_id") == F.col("of_"), "left").withColumn("kept_lines", rest).drop("gone_", "of_")
