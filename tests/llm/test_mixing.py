@@ -41,6 +41,29 @@ def test_query(spark, small):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op1_mix(spark, small).collect()))
 
 
+@pytest.mark.parametrize("bits", [1, 3, 12])
+def test_cut_against_a_queue_of_words(spark, monkeypatch, bits):
+    """Words one by one in order of their virtual finish times, cut at the budget."""
+    monkeypatch.setattr(mixing, "PROBE_BITS", bits)
+    sizes = {"a": ([5, 1, 9, 30], 1), "b": ([4, 4, 100], 2), "c": ([7], 3)}
+    packets, words = [], []
+    for docs, weight in sizes.values():
+        at = 0
+        for size in docs * 3:
+            packets.append((at * 6 // weight, (at + size) * 6 // weight, weight))
+            at += size
+        words += [(k + 1) * 6 / weight for k in range(at)]
+    frame = spark.createDataFrame(packets, "begin long, finish long, rate long")
+    words.sort()
+    for budget in (1, 17, 50, 160, 479):
+        low, p, q = mixing.cut_level(frame, budget, 6)
+        sent = sum(min(3 * sum(docs), (low + p / q) * weight / 6) for docs, weight in sizes.values())
+        assert sent == pytest.approx(budget)
+        assert sum(w <= low + p / q for w in words) <= budget <= sum(w <= low + p / q for w in words) + 3
+    assert mixing.cut_level(frame, 480, 6)[0] == max(f for _, f, _ in packets)
+    assert mixing.cut_level(frame.limit(0), 0, 6) == (0, 0, 1)
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c", "x", "k"), (1, "a b c", "x", "k"), (None, "d " * 50_000, None, "k"), (2, None, "y", "k"), (3, "", "y", "k"), (4, "e f", None, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight string")

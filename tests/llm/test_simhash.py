@@ -48,7 +48,7 @@ def test_odd_rows(spark):
     got = [tuple(r) for r in simhash.near_groups(docs, tile=2).collect()]
     want = slow_groups(rows)
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    assert sorted(((i, f"{f % 2**64:016x}", c) for i, f, c in got), key=key) == sorted(want, key=key)
+    assert sorted(((i, f"{f % 2**64:016x}", c) for i, f, _, c in got), key=key) == sorted(want, key=key)
     assert simhash.near_groups(docs.limit(0)).collect() == []
 
 
@@ -58,5 +58,11 @@ def test_tiles_unite_what_pairs_unite():
     flips = np.uint64(1) << rng.integers(0, 63, (40, 30), dtype=np.uint64)
     values = np.unique(np.concatenate([base, (base[:, None] ^ flips).ravel()]))
     labels = simhash.join_close(values, values, 4, True)
+    assert len(labels) == len(values)
     for i in range(len(values)):
         assert (labels[np.bitwise_count(values ^ values[i]) <= 4] == labels[i]).all()
+    left, right = values[::2], values[1::2]
+    labels = simhash.join_close(left, right, 4, False)
+    assert len(labels) == len(values)
+    for i in range(len(left)):
+        assert (labels[len(left) :][np.bitwise_count(right ^ left[i]) <= 4] == labels[i]).all()

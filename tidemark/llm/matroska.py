@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -26,7 +25,10 @@ FRAME = 576  # samples, and bytes, of a packet
 HERTZ = 48_000
 NANOS = FRAME * 1_000_000_000 // HERTZ
 LACED, PER_CLUSTER = 8, 64
+ROWS = 1 << 16  # packets of a batch
 SLICE = 2 << 20  # bytes of texts or files that a worker turns over at once
+_INTEGERS = {TIMESTAMP_SCALE, NUMBER, UID, TYPE, DEFAULT_DURATION, CHANNELS, BITS, CLUSTER_TIME, CUE_TIME, CUE_TRACK, CUE_CLUSTER, REFERENCE}
+DEEPEST = 16  # elements in each other; the format has six
 _MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE, CUE_PLACE}
 
 
@@ -152,58 +154,77 @@ def parse(data: bytes | None) -> Media:
             media.packets.append((track, (cluster_time + time) * scale + k * step, at, size, bool(flags & 0x80) if key is None else key, k))
             at += size
 
-    def walk(at: int, end: int, inside: int, found: dict) -> int:
-        nonlocal scale, segment, cluster_time
-        while at < end:
+    def closed(ident: int, own: dict, found: dict) -> None:
+        """A master element is over: what it held goes to the file's tables or to its parent."""
+        if ident == TRACK:
+            media.tracks[own.get(NUMBER, 0)] = own
+        elif ident == AUDIO:
+            found.update(own)
+        elif ident == CUE_PLACE:
+            found.setdefault("places", []).append((own.get(CUE_TRACK, 0), own.get(CUE_CLUSTER, 0)))
+        elif ident == CUE:
+            media.cues.extend((own.get(CUE_TIME, 0) * scale, t, segment + c) for t, c in own.get("places", []))
+        elif ident == BLOCK_GROUP and "block" in own:
+            blocks(*own["block"], REFERENCE not in own)
+
+    def simple(ident: int, at: int, stop: int, found: dict) -> None:
+        nonlocal scale, cluster_time
+        if ident == SIMPLE_BLOCK:
+            blocks(at, stop, None)
+        elif ident == BLOCK:
+            found["block"] = (at, stop)
+        elif ident in (RATE, DURATION):
+            found[ident] = struct.unpack(">d" if stop - at == 8 else ">f", data[at:stop])[0] if stop - at in (4, 8) else 0.0
+            if ident == DURATION:
+                media.duration = found[ident]
+        elif ident == CODEC:
+            found[ident] = data[at:stop].decode("utf-8", "replace")
+        elif ident in _INTEGERS:
+            found[ident] = int.from_bytes(data[at:stop], "big")
+            if ident == TIMESTAMP_SCALE:
+                scale = found[ident]
+            elif ident == CLUSTER_TIME:
+                cluster_time = found[ident]
+
+    def walk() -> None:
+        nonlocal segment
+        at = 0
+        open_: list[tuple[int, int, dict]] = [(0, len(data), {})]  # identifier, end and content of the elements that are open
+        while True:
+            inside, end, found = open_[-1]
+            if at >= end:
+                open_.pop()
+                if not open_:
+                    return
+                closed(inside, found, open_[-1][2])
+                continue
             begin = at
             ident, at = _number(data, at, end, True)
-            if inside == CLUSTER and ident in (CLUSTER, CUES, INFO, TRACKS):
-                return begin
+            if inside == CLUSTER and ident in (CLUSTER, CUES, INFO, TRACKS):  # a cluster of unknown size ends here
+                open_[-1] = (inside, begin, found)
+                at = begin
+                continue
             size, at = _number(data, at, end)
             stop = end if size is None else at + size
             if stop > end:
                 raise ValueError(f"element {ident:x} at {begin} goes beyond its parent")
             if ident in _MASTERS:
-                own: dict = {}
+                if len(open_) > DEEPEST:
+                    raise ValueError(f"more than {DEEPEST} elements in each other at {begin}")
                 if ident == SEGMENT:
                     segment = at
                 elif ident == CLUSTER:
                     media.clusters += 1
-                stop = walk(at, stop, ident, own)
-                if ident == TRACK:
-                    media.tracks[own.get(NUMBER, 0)] = own
-                elif ident == AUDIO:
-                    found.update(own)
-                elif ident == CUE_PLACE:
-                    found.setdefault("places", []).append((own.get(CUE_TRACK, 0), own.get(CUE_CLUSTER, 0)))
-                elif ident == CUE:
-                    media.cues += [(own.get(CUE_TIME, 0) * scale, t, segment + c) for t, c in own.get("places", [])]
-                elif ident == BLOCK_GROUP and "block" in own:
-                    blocks(*own["block"], REFERENCE not in own)
-            elif ident == SIMPLE_BLOCK:
-                blocks(at, stop, None)
-            elif ident == BLOCK:
-                found["block"] = (at, stop)
-            elif ident in (RATE, DURATION):
-                found[ident] = struct.unpack(">d" if stop - at == 8 else ">f", data[at:stop])[0] if stop - at in (4, 8) else 0.0
-                if ident == DURATION:
-                    media.duration = found[ident]
-            elif ident == CODEC:
-                found[ident] = data[at:stop].decode("utf-8", "replace")
-            elif ident in (TIMESTAMP_SCALE, NUMBER, UID, TYPE, DEFAULT_DURATION, CHANNELS, BITS, CLUSTER_TIME, CUE_TIME, CUE_TRACK, CUE_CLUSTER, REFERENCE):
-                found[ident] = int.from_bytes(data[at:stop], "big")
-                if ident == TIMESTAMP_SCALE:
-                    scale = found[ident]
-                elif ident == CLUSTER_TIME:
-                    cluster_time = found[ident]
-            at = stop
-        return at
+                open_.append((ident, stop, {}))
+            else:
+                simple(ident, at, stop, found)
+                at = stop
 
     try:
         if data[:4] != EBML.to_bytes(4, "big"):
             raise ValueError("no EBML header")
-        walk(0, len(data), 0, {})
-    except (ValueError, IndexError) as error:
+        walk()
+    except (ValueError, IndexError, struct.error) as error:
         media.error = str(error)
     return media
 
@@ -213,23 +234,24 @@ def packets(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
 
     ``offset`` and ``size`` are the packet's byte range in the file; ``cued`` says that a
     cue names its cluster's first time and track. Null, empty or malformed files give the
-    packets before the fault, maybe none.
+    packets before the fault, maybe none; a null key passes through as it is (no detour over
+    floats); repeated rows each have their packets; no rows give none.
     """
+    kinds = pa.schema([("track", pa.int64()), ("nanos", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("keyframe", pa.bool_()), ("lace", pa.int32()), ("cued", pa.bool_())])
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", track long, nanos long, offset long, size long, keyframe boolean, lace int, cued boolean"
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own in batch.itertuples(index=False):
-                media = parse(own[-1])
-                if media.packets:
-                    part = pd.DataFrame(media.packets, columns=["track", "nanos", "offset", "size", "keyframe", "lace"])
-                    cued = {(t, n) for n, t, _ in media.cues}
-                    part["cued"] = [(t, n) in cued for t, n in zip(part["track"], part["nanos"])]
-                    for k, value in reversed(list(zip(keys, own))):
-                        part.insert(0, k, value)
-                    yield part
-
-    return df.select(*keys, column).mapInPandas(rows, schema)
+            for place, data in enumerate(batch.column(batch.num_columns - 1)):
+                media = parse(data.as_py())
+                cued = {(t, n) for n, t, _ in media.cues}
+                for at in range(0, len(media.packets), ROWS):
+                    some = media.packets[at : at + ROWS]
+                    own = [batch.column(k).take(pa.array([place] * len(some))) for k in range(len(keys))]
+                    columns = [*zip(*some), [(p[0], p[1]) in cued for p in some]]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, f.type) for c, f in zip(columns, kinds))], names=[*keys, *kinds.names])
+
+    return df.select(*keys, column).mapInArrow(rows, schema)
 
 
 def payload_of(text: str | None) -> bytes:

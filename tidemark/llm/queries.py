@@ -13,7 +13,7 @@ from tidemark.llm.common import table
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.fair_queue(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS digest
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS digest
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT source, source_size, (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS weight FROM s),
@@ -67,12 +67,12 @@ r AS (SELECT *, (source_size * 3)::DOUBLE AS most, (source_size * 3)::DOUBLE / w
 v AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER e, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER e, 0)) AS level
   FROM r WINDOW e AS (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(most, coalesce(weight * max(level) FILTER (level <= full_at) OVER (), most)) AS target FROM v),
+t AS (SELECT source, source_size, weight, least(most, coalesce(weight * max(level) FILTER (level <= full_at) OVER (), most)) AS target FROM v),
 q AS (
-  SELECT d.*, t.source_size, t.target, floor(t.target)::BIGINT AS words,
+  SELECT d.*, t.source_size, t.target, t.weight, floor(t.target + 1e-6)::BIGINT AS words,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY digest, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, source_size, target, (start + size) / weight AS finish,
   CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(size, words % source_size - start)) END::BIGINT AS taken
 FROM q
 """

@@ -51,12 +51,12 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
 
 
 def join_close(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
-    """Labels of the positions of a, then of b, after uniting all within ``radius`` bits of each other.
+    """Labels of the positions of a, then of b, after uniting all within ``radius`` bits of each other; of a alone if ``same`` says that b is a.
 
     Only labels are kept, never the pairs, so a tile full of near copies stays small.
     """
-    labels = np.arange(len(a) + len(b))
     shift = 0 if same else len(a)
+    labels = np.arange(shift + len(b))
     for at in range(0, len(a), ROWS):
         close = np.bitwise_count(a[at : at + ROWS, None] ^ b[None, :]) <= radius
         i, j = np.nonzero(close)
@@ -102,9 +102,9 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
         for batch in batches:
             for same, own, theirs in zip(batch["same"], batch["own"], batch["theirs"]):
                 a = np.asarray(own, np.int64)
-                b = a[:0] if same else np.asarray(theirs, np.int64)
-                labels = join_close(a.view(np.uint64), (a if same else b).view(np.uint64), radius, same)[: len(a) + len(b)]
-                both = np.concatenate([a, b])
+                b = a if same else np.asarray(theirs, np.int64)
+                labels = join_close(a.view(np.uint64), b.view(np.uint64), radius, same)
+                both = a if same else np.concatenate([a, b])
                 linked = np.nonzero(labels != np.arange(len(labels)))[0]
                 if len(linked):
                     yield pd.DataFrame({"a": both[linked], "b": both[labels[linked]]})
@@ -113,7 +113,7 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, seed: int = SEED, tile: int = TILE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row, component_id the smallest doc_id reachable over links.
+    """(doc_id, fp, label, component_id) of every row, component_id the smallest doc_id reachable over links, label one of the component's prints.
 
     Equal fingerprints are one node, so copies are never compared with each other. Null
     and empty texts have fingerprint zero and link like any other; a null doc_id takes
@@ -123,7 +123,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, seed:
     prints = saved(fingerprints(docs, width, seed))
     nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = saved(components(close_pairs(nodes.select("fp"), radius, tile)).select(F.col("node").alias("fp"), "label"))
-    nodes = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    best = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(best, "label").select("fp", "component_id")
-    return prints.join(nodes, "fp").select("doc_id", "fp", "component_id")
+    # Written tables on both sides of a join: a component or a print of very many rows can then be dealt to several tasks.
+    nodes = saved(nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    best = saved(nodes.groupBy("label").agg(F.min("least").alias("component_id")))
+    nodes = saved(nodes.join(best, "label").select("fp", "label", "component_id"))
+    return prints.join(nodes, "fp").select("doc_id", "fp", "label", "component_id")
