@@ -34,14 +34,24 @@ _BLANK = " \t\x0b\f\r"
 _FACTORS = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PAD = np.uint64(0x7FFFFFFF)
 _NONE = np.uint64(0xFFFFFFFF)
+#: Keys that one task gathers, 20 bytes each; more keys make more tasks.
+GATHERED = 1 << 19
+#: Of HINT further minima that travel with a key, by their low four bits, so many must agree (lines of
+#: SIMILARITY that share the band fail in 1 of 1000 bands, and share several).
+HINT, HINTED = 8, 3
+_KEYED = np.dtype([("key", "<u8"), ("id", "<i8"), ("hint", "<u4")])
+_STAR = np.dtype([("key", "<u8"), ("id", "<i8"), ("centre", "<i8")])
 _SKETCHES = [f"k{i}" for i in range(SKETCH // 16)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, h1, h2): the lines of every text, lower-cased and trimmed, with a 128-bit key. Blank lines are left out."""
+    """(doc_id, line_no, line, id): the lines of every text, lower-cased and trimmed. Blank lines are left out.
+
+    ``id`` is a 64-bit hash of the line, the same wherever the line stands; of 10**9
+    distinct lines two share one with a chance of 3 in 100 and would be taken for alike.
+    """
     rows = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "raw")).where(F.btrim("raw", F.lit(_BLANK)) != "")
-    rows = rows.select("doc_id", "line_no", F.trim("raw").alias("line"))
-    return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+    return rows.select("doc_id", "line_no", F.trim("raw").alias("line")).withColumn("id", F.xxhash64("line"))
 
 
 def _hashes(codes: np.ndarray) -> np.ndarray:
@@ -119,37 +129,94 @@ def _sketches(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
 
 
-def signed(distinct: DataFrame) -> DataFrame:
-    """(id, h1, h2, line, filled, sketch, keys, back) of each of the ``distinct`` lines (h1, h2, line).
+def _hints(least: np.ndarray) -> np.ndarray:
+    """(lines, BANDS) numbers, for each band of the low four bits of HINT minima of others."""
+    places = (np.arange(BANDS)[:, None] * ROWS + ROWS + np.arange(HINT) * 7) % BINS
+    low = (least & np.uint64(15))[:, places]
+    return np.bitwise_or.reduce(low << (np.arange(HINT, dtype=np.uint64) * np.uint64(4)), axis=2).astype(np.uint32)
+
+
+def stars(key: np.ndarray, ident: np.ndarray, hint: np.ndarray) -> np.ndarray:
+    """For each (key, id, hint) the id of its centre: its own where no other line of its bucket is near by the hints.
 
-    ``keys`` are the bands. ``back`` says how many rows before a line of the same batch has
-    the same key first: 0 for the first itself, -1 if others follow it. Only first ones need to be
-    exchanged by key, so a bucket of any size is combined before its exchange.
+    The first line of a bucket, in an order that all buckets share, is the centre of those
+    near it; of the others the first again, until none is left.
     """
+    centre = ident.copy()
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    crowded = np.zeros(len(key), bool)
+    crowded[1:] |= same
+    crowded[:-1] |= same
+    left = order[crowded]
+    left = left[np.lexsort((mixed(ident[left].view(np.uint64)), key[left]))]
+    while len(left):
+        first = np.concatenate([[True], key[left][1:] != key[left][:-1]])
+        head = left[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        apart = hint[left] ^ hint[head]
+        apart |= apart >> np.uint32(2)
+        apart |= apart >> np.uint32(1)
+        near = HINT - np.bitwise_count(apart & np.uint32(0x11111111)) >= HINTED
+        centre[left[near]] = ident[head[near]]
+        left = left[~near]
+    return centre
+
+
+def members_of(lines: DataFrame, groups: int) -> DataFrame:
+    """(key, id, centre): the lines (id, line) of every bucket of two or more that are near another by their hints.
+
+    Rows may repeat. Keys are gathered by ranges of their hash, packed, in ``groups``
+    groups. Distinct lines of one batch are brought into stars before, and only centres
+    are gathered, so that a bucket of any size is combined before its exchange.
+    """
+
+    def listed(group: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(group, kind="stable")
+        group, rows = group[order], rows[order]
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        ends = np.append(start[1:], len(group))
+        return pa.RecordBatch.from_arrays([pa.array(group[start], pa.int64()), pa.array([rows[i:j].tobytes() for i, j in zip(start, ends)], pa.binary())], names=["g", "packed"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, once = np.unique(batch.column("id").to_numpy(), return_index=True)
+            if not len(once):
+                continue
+            least, _ = minima(batch.column("line").take(pa.array(once)))
+            rows = np.zeros(len(once) * BANDS, _KEYED)
+            rows["key"], rows["id"], rows["hint"] = bands(least).ravel(), np.repeat(batch.column("id").to_numpy()[once], BANDS), _hints(least).ravel()
+            centre = stars(rows["key"], rows["id"], rows["hint"])
+            around = centre != rows["id"]
+            yield listed((rows["key"][~around] % np.uint64(groups)).astype(np.int64), rows[~around])
+            found = np.zeros(int(around.sum()), _STAR)
+            found["key"], found["id"], found["centre"] = rows["key"][around], rows["id"][around], centre[around]
+            yield listed(-1 - (found["id"].view(np.uint64) % np.uint64(groups)).astype(np.int64), found)
+
+    def gather(batch: pa.Table) -> pa.Table:
+        data = b"".join(x.as_py() for x in batch.column("packed"))
+        if batch.column("g")[0].as_py() < 0:
+            found = np.frombuffer(data, _STAR)
+        else:
+            rows = np.frombuffer(data, _KEYED)
+            centre = stars(rows["key"], rows["id"], rows["hint"])
+            around = centre != rows["id"]
+            found = np.zeros(int(around.sum()), _STAR)
+            found["key"], found["id"], found["centre"] = rows["key"][around], rows["id"][around], centre[around]
+        return pa.table({"key": np.ascontiguousarray(found["key"]).view(np.int64), "id": np.ascontiguousarray(found["id"]), "centre": np.ascontiguousarray(found["centre"])})
+
+    return lines.select("id", "line").mapInArrow(sign, "g long, packed binary").groupBy("g").applyInArrow(gather, "key long, id long, centre long")
+
+
+def with_sketches(lines: DataFrame) -> DataFrame:
+    """(id, line, filled, sketch) of lines (id, line)."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least, filled = minima(batch.column("line"))
-            keys, n = bands(least), batch.num_rows
-            flat = keys.T.ravel()  # a band after the other, rows ascending
-            order = np.argsort(flat, kind="stable")
-            run = np.concatenate([[True], flat[order][1:] != flat[order][:-1]]) if n else np.zeros(0, bool)
-            start = np.flatnonzero(run)
-            size = np.diff(np.append(start, len(flat)))
-            row = order % max(n, 1)
-            back = np.zeros(len(flat), np.int32)
-            back[order] = row - np.repeat(row[start], size)
-            back[order[start[size > 1]]] = -1
-            places = pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32))
-            listed = lambda values: pa.ListArray.from_arrays(places, pa.array(values))
-            sketch = [pa.array(s.view(np.int64)) for s in np.ascontiguousarray(_sketches(least).T)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("h1", "h2", "line")), pa.array(filled.astype(np.int32)), *sketch, listed(keys.ravel().view(np.int64)), listed(np.ascontiguousarray(back.reshape(BANDS, n).T).ravel())],
-                names=["h1", "h2", "line", "filled", *_SKETCHES, "keys", "back"],
-            )
-
-    kinds = "h1 long, h2 long, line string, filled int, " + ", ".join(f"{c} long" for c in _SKETCHES) + ", keys array<long>, back array<int>"
-    return distinct.select("h1", "h2", "line").mapInArrow(sign, kinds).withColumn("id", F.monotonically_increasing_id())
+            own = [pa.array(s.view(np.int64)) for s in np.ascontiguousarray(_sketches(least).T)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("line"), pa.array(filled.astype(np.int32)), *own], names=["id", "line", "filled", *_SKETCHES])
+
+    return lines.select("id", "line").mapInArrow(sketch, "id long, line string, filled int, " + ", ".join(f"{c} long" for c in _SKETCHES))
 
 
 def _near(other: str) -> Column:
@@ -224,25 +291,30 @@ def _first_of_each(now: DataFrame, turn: int) -> DataFrame:
     return now.groupBy("key", "label").agg(*[F.min_by(c, order).alias(c) for c in ("id", "filled", *_SKETCHES)])
 
 
-def members_of(marked: DataFrame) -> DataFrame:
-    """(key, id): the lines of every bucket of two or more."""
-    of_band = marked.select("id", F.explode(F.arrays_zip("keys", "back")).alias("z")).select("id", F.col("z.keys").alias("key"), F.col("z.back").alias("back"))
-    firsts = of_band.where("back <= 0").select("key", F.when(F.col("back") < 0, 2).otherwise(1).alias("n"), "id")
-    crowded = firsts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    return firsts.join(crowded, "key").select("key", "id").union(of_band.where("back > 0").select("key", "id"))
+def _paired(stars: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, b): the lines of each star with its centre, where sketches allow it."""
+    of = lambda c, by: lines.select(F.col("id").alias(c), *[F.col(x).alias(by + x) for x in ("filled", *_SKETCHES)])
+    both = stars.select("id", "centre").distinct().join(of("id", ""), "id").join(of("centre", "c_"), "centre").where(_near("c_"))
+    return both.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
-def labelled(members: DataFrame, lines: DataFrame, texts: DataFrame, least: float, rounds: int = ROUNDS, exact: bool = True) -> DataFrame:
-    """(id, label): components of the links of at least ``least`` between ids that share a bucket of ``members`` (key, id).
+def labelled(stars: DataFrame, lines: DataFrame, least: float, rounds: int = ROUNDS, exact: bool = True) -> DataFrame:
+    """(id, label): components of the links of at least ``least`` between lines that share a bucket.
 
-    lines: (id, filled, sketch). texts: (id, line).
+    stars: (key, id, centre). lines: (id, line, filled, sketch) of all that occur there.
     """
-    labels = lines.withColumn("label", F.col("id"))
+    texts, labels = lines.select("id", "line"), lines.drop("line").withColumn("label", F.col("id"))
+    members = None
     for turn in range(rounds + (1 if exact else 2)):
-        now = saved(_mixed(members, labels))
-        if now.isEmpty():
-            break
-        pairs = saved(_to_centres(now, turn) if turn < rounds else _across(now if exact else _first_of_each(now, turn)))
+        if not turn:
+            pairs = saved(_paired(stars, lines))
+        else:
+            if members is None:
+                members = saved(stars.select("key", "id").union(stars.select("key", "centre")).distinct())
+            now = saved(_mixed(members, labels))
+            if now.isEmpty():
+                break
+            pairs = saved(_to_centres(now, turn) if turn < rounds else _across(now if exact else _first_of_each(now, turn)))
         of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
         links = _checked(pairs, texts, least).join(of("a"), "a").join(of("b"), "b")
         united = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
@@ -251,14 +323,13 @@ def labelled(members: DataFrame, lines: DataFrame, texts: DataFrame, least: floa
     return labels.select("id", "label")
 
 
-def line_groups(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS, exact: bool = True) -> DataFrame:
+def line_groups(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS, exact: bool = True, gathered: int = GATHERED) -> DataFrame:
     """(doc_id, line_no, group_doc_id, group_line_no, kept) of every line that is not blank.
 
-    Lines alike after trimming and lower-casing are one, and only distinct ones are
-    shingled. Of these, lines whose shingle sets have a Jaccard similarity of ``least``
-    (SIMILARITY or more) are linked if they share a band of minimum hashes, and a group is
-    a component of the links. Its first line by (doc_id, line_no), null doc_ids last,
-    names the group and is the one that is kept.
+    Lines alike after trimming and lower-casing are one. Of these, lines whose shingle sets
+    have a Jaccard similarity of ``least`` (SIMILARITY or more) are linked if they share a
+    band of minimum hashes, and a group is a component of the links. Its first line by
+    (doc_id, line_no), null doc_ids last, names the group and is the one that is kept.
 
     In each bucket all lines are first compared with one centre, which unites large groups
     of near copies without listing their pairs. After ``rounds`` such rounds with different
@@ -268,21 +339,19 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS
     further columns are ignored; no rows give none.
     """
     lines = lines_of(docs)
-    seen = saved(lines.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "line_no", "h1", "h2"))
-    marked = saved(signed(lines.groupBy("h1", "h2").agg(F.first("line").alias("line"))))
-    members = saved(members_of(marked))
-    own = members.select("id").distinct()
-    wanted = saved(marked.select("id", "h1", "h2", "line", "filled", *_SKETCHES).join(own, "id"))
-    labels = labelled(members, wanted.select("id", "filled", *_SKETCHES), wanted.select("id", "line"), least, rounds, exact)
-    # Of each component of several lines the key of the line it is labelled by.
-    grouped = labels.join(labels.where("id <> label").select("label").distinct(), "label")
-    known = grouped.join(wanted.select("id", "h1", "h2"), "id").select("h1", "h2", "label")
+    seen = saved(lines.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "line_no", "id"))
+    groups = 1 + seen.count() * BANDS // gathered
+    found = saved(members_of(lines, groups))
+    own = found.select("id").union(found.select("centre")).distinct()
+    wanted = saved(with_sketches(lines.groupBy("id").agg(F.first("line").alias("line")).join(own, "id")))
+    labels = labelled(found, wanted, least, rounds, exact)
+    known = labels.join(labels.where("id <> label").select("label").distinct(), "label").select("id", "label")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "uid")).alias("first")
-    firsts = saved(seen.groupBy("h1", "h2").agg(first).join(known, ["h1", "h2"], "left"))
+    firsts = saved(seen.groupBy("id").agg(first).join(known, "id", "left"))
     heads = saved(firsts.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("head")))
-    of_group = firsts.where("label IS NOT NULL").select("h1", "h2", "label").join(heads, "label").select("h1", "h2", "head")
-    head = saved(firsts.where("label IS NULL").select("h1", "h2", F.col("first").alias("head")).union(of_group))
-    return seen.join(head, ["h1", "h2"]).select("doc_id", "line_no", F.col("head.doc_id").alias("group_doc_id"), F.col("head.line_no").alias("group_line_no"), (F.col("uid") == F.col("head.uid")).alias("kept"))
+    of_group = firsts.where("label IS NOT NULL").select("id", "label").join(heads, "label").select("id", "head")
+    head = saved(firsts.where("label IS NULL").select("id", F.col("first").alias("head")).union(of_group))
+    return seen.join(head, "id").select("doc_id", "line_no", F.col("head.doc_id").alias("group_doc_id"), F.col("head.line_no").alias("group_line_no"), (F.col("uid") == F.col("head.uid")).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, groups: DataFrame) -> DataFrame:
