@@ -12,6 +12,8 @@ from tidemark.llm.common import saved
 #: Bits of the key that one counting pass looks at, so a pass returns at most 2**PROBE_BITS rows a splitter.
 PROBE_BITS = 10
 KEY_BITS = 60
+#: Of these the low ones, which come from the identifier.
+IDENT_BITS = 32
 
 
 def shard_key(text: Column, ident: Column) -> Column:
@@ -79,30 +81,43 @@ def place(column: Column, splitters: list[int]) -> Column:
     return between(0, len(splitters))
 
 
-def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.0, piece_bytes: int = 64 << 20, least_pieces: int = 8) -> DataFrame:
+def _pieces(keys: DataFrame, rows: int) -> DataFrame:
+    """``keys`` with ``piece``: the key without its low bits, so that pieces are ranges of about ``rows`` rows.
+
+    As many leading bits are kept as there would be pieces of evenly spread keys, of the
+    text's digest at most. A piece that holds many more (the copies of a text) keeps more
+    bits, of the identifier's digest; these few are a table that the keys are joined with.
+    """
+    number = keys.count()
+    bits = min(KEY_BITS - IDENT_BITS, max(0, math.ceil(math.log2(max(1, number / rows)))))
+    cell = F.shiftright("key", KEY_BITS - bits)
+    heavy = keys.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > 4 * rows)
+    deep = F.least(F.ceil(F.log2(F.col("n") / rows)), F.lit(IDENT_BITS)).cast("int")
+    heavy = saved(heavy.select(F.col("cell").alias("of_cell"), deep.alias("deep")))
+    cut = lambda low: F.call_function("shiftleft", F.call_function("shiftright", F.col("key"), low), low)
+    low = F.when(F.col("deep").isNull(), F.lit(KEY_BITS - bits)).otherwise(F.lit(IDENT_BITS) - F.col("deep"))
+    return keys.join(heavy, cell == F.col("of_cell"), "left").withColumn("piece", cut(low)).drop("of_cell", "deep")
+
+
+def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.0, piece_rows: int = 50_000) -> DataFrame:
     """(doc_id, size, text_crc32, key, shard, slot) of every row.
 
-    ``size`` is the text's UTF-8 bytes plus 8. Each shard is made of near-equal pieces of
-    at most about ``piece_bytes`` (``least_pieces`` at least), so the one exchange moves
-    pieces, not shards, and the slot inside a shard is the rows of its earlier pieces plus
-    the place in the piece. A null text counts as empty (size 8, crc 0), a null doc_id
-    sorts with its own digest; rows equal in doc_id and text length stay in one shard,
-    further columns are ignored, no rows give none.
+    ``size`` is the text's UTF-8 bytes plus 8. Only the ``shards`` - 1 splitters are found
+    with the driver's help. The one exchange moves ranges of keys of about ``piece_rows``
+    rows, not shards, and the slot inside a shard is the rows of its earlier ranges plus
+    the place in the range; both are counted in the cluster. A null text counts as empty
+    (size 8, crc 0); null doc_ids are told apart by their rows' places in the input; rows
+    equal in doc_id and text length stay in one shard, further columns are ignored, no
+    rows give none.
     """
     text = F.coalesce("text", F.lit(""))
-    keys = saved(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), shard_key(F.col("text"), F.col("doc_id")).alias("key")))
-    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    per_shard = max(least_pieces, math.ceil(total / shards / piece_bytes))
-    splitters = find_splitters(keys.select("key", "size"), shards * per_shard, tolerance)
-    pieces = keys.withColumn("piece", place(F.col("key"), splitters))
-    before, start = 0, {}
-    counts = dict(pieces.groupBy("piece").count().collect())
-    for piece in range(shards * per_shard):
-        before = 0 if piece % per_shard == 0 else before
-        start[piece] = before
-        before += counts.get(piece, 0)
-    starts = keys.sparkSession.createDataFrame([(int(p), int(n)) for p, n in start.items()], "piece int, start long")
-    order = Window.partitionBy("piece").orderBy("key", "doc_id", "text_crc32", "size")
-    ranked = pieces.withColumn("place", F.row_number().over(order))
-    # One row a piece, a number that the shard count and piece_bytes fix.
-    return ranked.join(F.broadcast(starts), "piece").select("doc_id", "size", "text_crc32", "key", (F.col("piece") / per_shard).cast("int").alias("shard"), (F.col("start") + F.col("place") - 1).alias("slot"))
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    keys = saved(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), shard_key(F.col("text"), ident).alias("key")))
+    splitters = find_splitters(keys.select("key", "size"), shards, tolerance)
+    placed = _pieces(keys, piece_rows).withColumn("shard", place(F.col("key"), splitters).cast("int"))
+    counts = saved(placed.groupBy("shard", "piece").agg(F.count("*").alias("n")))
+    earlier = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    order = Window.partitionBy("shard", "piece").orderBy("key", "doc_id", "text_crc32", "size")
+    ranked = placed.withColumn("place", F.row_number().over(order))
+    return ranked.join(starts, ["shard", "piece"]).select("doc_id", "size", "text_crc32", "key", "shard", (F.col("start") + F.col("place") - 1).alias("slot"))
