@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.llm.common import text_bytes
 from tidemark.llm.textvec import chunks, shingle_hashes, span_hashes, spans
@@ -44,15 +45,16 @@ def _hashed(texts: pa.Array, widths: list[int]) -> Iterator[tuple[int, int, np.n
 
 
 class Items:
-    """A block of items: their shingles, and of each item the smallest hashes (its sketch).
+    """A block of items: their shingles, and a table of sketches for each partition of them by size.
 
-    Items are partitioned by size, in powers of two. A document holding at least
-    ``threshold`` of an item's n shingles misses at most n - ceil(threshold n), so it
-    holds one of any n - ceil(threshold n) + 1: a sketch of that many minimum hashes for
-    the largest size of the partition finds every such document.
+    A partition holds items of one shingle width whose numbers of shingles have the same
+    number of binary digits. A document that holds at least ``threshold`` of an item's n
+    shingles misses at most m = n - ceil(threshold n) of them. So of the item's sketch,
+    its 2 m + 1 least hashes (or all n), it misses no more than m: the documents that hold
+    the others, m + 1 mostly, are the candidates, and none can escape.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], threshold: float, width: int) -> None:
+    def __init__(self, rows: list[tuple[object, str]], threshold: float, width: int) -> None:
         self.threshold, self.ids, self.shingles, self.widths = threshold, [], [], []
         for ident, text in rows:
             words = words_of(text or "")
@@ -60,21 +62,21 @@ class Items:
                 self.ids.append(ident)
                 self.widths.append(min(width, len(words)))
                 self.shingles.append(shingles_of(words, self.widths[-1]))
-        self.tables = {}
-        for w in sorted(set(self.widths)):
-            keys, owners = [], []
-            for k in (k for k, x in enumerate(self.widths) if x == w):
-                hashed = self._hashes(k, w)
-                n = len(hashed)
-                largest = (1 << n.bit_length()) - 1
-                sketch = np.sort(hashed)[: largest - self.need(largest) + 1]
-                keys.append(sketch)
-                owners.append(np.full(len(sketch), k))
-            key, owner = np.concatenate(keys), np.concatenate(owners)
+        parts: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        self.wanted = np.zeros(len(self.ids), np.int64)
+        for k, w in enumerate(self.widths):
+            hashed = self._hashes(k, w)
+            missing = len(hashed) - self.need(len(hashed))
+            sketch = np.sort(hashed)[: 2 * missing + 1]
+            self.wanted[k] = len(sketch) - missing
+            parts.setdefault((w, len(hashed).bit_length()), []).append((k, sketch))
+        self.tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for (w, _), own in sorted(parts.items(), key=lambda x: x[0]):
+            key, owner = np.concatenate([s for _, s in own]), np.concatenate([np.full(len(s), k) for k, s in own])
             order = np.argsort(key, kind="stable")
             seen = np.zeros(1 << _TABLE_BITS, bool)
             seen[key >> np.uint64(64 - _TABLE_BITS)] = True
-            self.tables[w] = key[order], owner[order], seen
+            self.tables.setdefault(w, []).append((key[order], owner[order], seen))
 
     def need(self, n: int) -> int:
         return int(np.ceil(self.threshold * n - 1e-9))
@@ -83,17 +85,26 @@ class Items:
         texts = pa.array([s.decode("utf-8", "surrogateescape") for s in self.shingles[k]])
         return np.unique(np.concatenate([h for _, _, h, _ in _hashed(texts, [width])]))
 
+    def candidates(self, texts: pa.Array) -> np.ndarray:
+        """Sorted numbers place * items + item of the documents that hold enough of an item's sketch."""
+        out = [np.zeros(0, np.int64)]
+        for width, first, hashes, docs in _hashed(texts, list(self.tables)):
+            for key, owner, seen in self.tables[width]:
+                maybe = np.flatnonzero(seen[hashes >> np.uint64(64 - _TABLE_BITS)])
+                low, high = np.searchsorted(key, hashes[maybe], "left"), np.searchsorted(key, hashes[maybe], "right")
+                times = high - low
+                held = np.repeat(docs[maybe], times)
+                at = np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(held))
+                # A shingle that a document repeats counts once.
+                held, at = np.divmod(np.unique(held * len(key) + at), len(key))
+                pair, shared = np.unique((first + held) * len(self.ids) + owner[at], return_counts=True)
+                out.append(pair[shared >= self.wanted[pair % len(self.ids)]])
+        return np.sort(np.concatenate(out))
+
     def found(self, texts: pa.Array) -> list[tuple[int, int, int]]:
         """(place in texts, place of the item, shingles shared) of every contained item."""
-        candidates: set[tuple[int, int]] = set()
-        for width, first, hashes, docs in _hashed(texts, list(self.tables)):
-            key, owner, seen = self.tables[width]
-            maybe = np.flatnonzero(seen[hashes >> np.uint64(64 - _TABLE_BITS)])
-            low, high = np.searchsorted(key, hashes[maybe], "left"), np.searchsorted(key, hashes[maybe], "right")
-            for at in np.flatnonzero(high > low):
-                candidates.update((first + int(docs[maybe[at]]), int(k)) for k in owner[low[at] : high[at]])
         out, last, of = [], None, {}
-        for place, k in sorted(candidates):
+        for place, k in zip(*(x.tolist() for x in np.divmod(self.candidates(texts), max(1, len(self.ids))))):
             if place != last:
                 last, of, words = place, {}, words_of(texts[place].as_py())
             width = self.widths[k]
@@ -125,9 +136,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
     item of fewer words is one shingle, its whole sequence. Every document is read once
     per block of items and nothing is shuffled. Null and empty texts contain nothing and
     items without words are in nothing; a repeated document or item gives repeated rows;
-    null identifiers pass through; further columns are ignored.
+    null identifiers pass through; identifiers may be of any type; further columns are
+    ignored.
     """
     spark, out = docs.sparkSession, None
+    doc_kind, item_kind = (d.schema[c].dataType for d, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    item_type = to_arrow_type(item_kind)
+    kinds = f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, shared long, shingles long, containment double"
     for items in blocks(benchmark, threshold, width, block):
         shared = spark.sparkContext.broadcast(items)
 
@@ -138,19 +153,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
                 places = pa.array([h[0] for h in hits], pa.int64())
                 sizes = [len(items.shingles[k]) for _, k, _ in hits]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(places), pa.array([items.ids[k] for _, k, _ in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64()), pa.array(sizes, pa.int64()), pa.array([h[2] / n for h, n in zip(hits, sizes)], pa.float64())],
+                    [batch.column("doc_id").take(places), pa.array([items.ids[k] for _, k, _ in hits], item_type), pa.array([h[2] for h in hits], pa.int64()), pa.array(sizes, pa.int64()), pa.array([h[2] / n for h, n in zip(hits, sizes)], pa.float64())],
                     names=["doc_id", "item_id", "shared", "shingles", "containment"],
                 )
 
-        part = docs.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, shared long, shingles long, containment double")
+        part = docs.select("doc_id", "text").mapInArrow(search, kinds)
         out = part if out is None else out.union(part)
     if out is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, shared long, shingles long, containment double")
+        return spark.createDataFrame([], kinds)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no item (see ``leaks``)."""
+    """The rows of ``docs``, all columns, that contain no item (see ``leaks``).
+
+    Null and empty texts stay; repeated rows stay or go together; null doc_ids stay like
+    any other; without items all rows stay; no rows give none.
+    """
     for items in blocks(benchmark, threshold, width, block):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
