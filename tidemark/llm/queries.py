@@ -42,9 +42,9 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = toolcalls.of_conversations(table(spark, sf_dir, "conversations"))
+    linked = toolcalls.in_order(toolcalls.of_conversations(table(spark, sf_dir, "conversations")))
     ids = (F.col(c).cast("long").alias(n) for c, n in (("thread", "conv_id"), ("call_id", "turn")))
-    return linked.select(*ids, "kind", "name", "level", "n_results", F.array_join("errors", ",").alias("errors"), "json")
+    return linked.select(*ids, "kind", "name", "level", "n_results", F.array_join("errors", ",").alias("errors"), "json", "place")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,16 +78,29 @@ FROM q
 """
 
 OP8_SQL = r"""
-WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name, text FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
-r AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n_results FROM conversations WHERE role = 'assistant' GROUP BY 1, 2),
-z AS (SELECT DISTINCT conv_id FROM c WHERE turn = 0)
-SELECT c.conv_id, c.turn, 'call' AS kind, c.name, CASE WHEN c.turn > 0 AND z.conv_id IS NOT NULL THEN 1 ELSE 0 END AS level, coalesce(r.n_results, 0) AS n_results,
-  concat_ws(',', CASE WHEN c.text IS NULL THEN 'missing text' END, CASE WHEN c.turn > 0 AND z.conv_id IS NULL THEN 'need' END) AS errors,
-  '{"arguments":{' || CASE WHEN c.text IS NULL THEN '' ELSE '"text":' || to_json(c.text)::VARCHAR || ',' END || '"turn":' || c.turn || '},"call_id":"' || c.turn || '","name":"' || c.name || '","result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
-FROM c LEFT JOIN z ON c.conv_id = z.conv_id LEFT JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn
-UNION ALL
-SELECT r.conv_id, r.turn, 'result', NULL, NULL, r.n_results, 'call', '{"arguments":null,"call_id":"' || r.turn || '","name":null,"result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}'
-FROM r ANTI JOIN c ON r.conv_id = c.conv_id AND r.turn = c.turn
+WITH RECURSIVE t AS (SELECT conv_id, turn, text, role IS DISTINCT FROM 'assistant' AS calls, CASE WHEN role = 'user' THEN 'reply' ELSE 'configure' END AS name FROM conversations),
+c AS (
+  SELECT *, CASE WHEN EXISTS (SELECT 1 FROM t AS b WHERE b.calls AND b.conv_id = t.conv_id AND b.turn + 1 = t.turn) THEN turn - 1 WHEN turn >= 2 THEN turn - 2 END AS previous
+  FROM t WHERE calls),
+n AS (SELECT DISTINCT conv_id, turn, previous, EXISTS (SELECT 1 FROM c AS b WHERE b.conv_id = c.conv_id AND b.turn = c.previous) AS met FROM c),
+l AS (
+  SELECT conv_id, turn, 0 AS level FROM n WHERE NOT met
+  UNION ALL SELECT n.conv_id, n.turn, l.level + 1 FROM n JOIN l ON n.conv_id = l.conv_id AND n.previous = l.turn AND n.met),
+e AS (SELECT conv_id, turn - 1 AS turn, text AS content, count(*) AS n FROM t WHERE NOT calls GROUP BY 1, 2, 3),
+r AS (SELECT conv_id, turn, min(content) AS content, sum(n)::BIGINT AS n_results FROM e GROUP BY 1, 2),
+o AS (
+  SELECT c.conv_id, c.turn, 'call' AS kind, c.name, l.level, coalesce(r.n_results, 0) AS n_results,
+    concat_ws(',', CASE WHEN c.name = 'reply' AND c.previous IS NULL THEN 'missing previous' END, CASE WHEN c.text IS NULL THEN 'missing text' END, CASE WHEN c.name = 'configure' THEN 'type turn' END,
+      CASE WHEN c.previous IS NOT NULL AND NOT n.met THEN 'need' END) AS errors,
+    '{"arguments":{' || CASE WHEN c.previous IS NULL THEN '' ELSE '"previous":' || c.previous || ',' END || CASE WHEN c.text IS NULL THEN '' ELSE '"text":' || to_json(c.text)::VARCHAR || ',' END
+      || '"turn":' || c.turn || '},"call_id":"' || c.turn || '","name":"' || c.name || '","result":' || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
+  FROM c JOIN n USING (conv_id, turn) JOIN l USING (conv_id, turn) LEFT JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn
+  UNION ALL
+  SELECT x.conv_id, x.turn, 'result', NULL, NULL, x.n, x.error, '{"arguments":null,"call_id":"' || x.turn || '","name":null,"result":' || coalesce(to_json(x.content)::VARCHAR, 'null') || '}'
+  FROM (
+    SELECT r.conv_id, r.turn, r.content, r.n_results AS n, 'call' AS error FROM r ANTI JOIN c ON r.conv_id = c.conv_id AND r.turn = c.turn
+    UNION ALL SELECT e.conv_id, e.turn, e.content, e.n, 'repeated' FROM e JOIN r ON e.conv_id = r.conv_id AND e.turn = r.turn AND e.content <> r.content) AS x)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn::VARCHAR, kind, json) - 1 AS place FROM o
 """
 
 OP4_SQL = r"""
