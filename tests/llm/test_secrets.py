@@ -38,10 +38,58 @@ def slow_battery(token):
     mu = sum(v) / n
     var = sum((x - mu) ** 2 for x in v)
     serial = sum((a - mu) * (b - mu) for a, b in zip(v, v[1:]))
-    agree = (c2 - n) / (n * (n - 1))
-    sd = math.sqrt(2 * 0.0667 * (1 - 0.0667) / (n * (n - 1)) + 4 * (n - 2) / (n * (n - 1)) * (0.0054 - 0.0667**2))
-    text = 0.27**n if k == 16 else tail((0.0667 - agree) / sd)
-    return name, n, tail(chi), 2 * tail(abs(runs - mean) / math.sqrt(spread)) if spread > 0 else 0, 2 * tail(abs(serial / var + 1 / n) * math.sqrt(n)) if var > 1e-9 else 0, text
+    three = tail(chi), 2 * tail(abs(runs - mean) / math.sqrt(spread)) if spread > 0 else 0, 2 * tail(abs(serial / var + 1 / n) * math.sqrt(n)) if var > 1e-9 else 0
+    x = max(0, -sum(math.log(max(p, 1e-100)) for p in three))
+    return name, n, *three, math.exp(-x) * (1 + x + x * x / 2)
+
+
+def slow_chance(token, name, n, u):
+    """Natural text's likelihood against the uniform one's, times 2 u, as a bound on a chance."""
+    letters = [(1 - secrets.SPREAD) * x / sum(secrets.LETTERS) + secrets.SPREAD / 26 for x in secrets.LETTERS]
+    after, log = 4, 0.0
+    for c in token.replace("-", "+").replace("_", "/"):
+        of = 0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3
+        log += math.log(secrets.CHAIN[after][of] * (letters[ord(c.lower()) - 97] if of < 2 else 0.1 if of == 2 else 0.5))
+        after = of
+    size = next(len(e[2]) for e in secrets.ENCODINGS if e[0] == name)
+    return math.exp(min(0, log + n * math.log(size) - math.log(2 * max(u, 1e-300))))
+
+
+def steps_up(chances, rate):
+    """The greatest chance that Benjamini and Hochberg's procedure lets pass, of a list; chances rounded up to a twentieth of a decade."""
+    rounded = sorted(10 ** (-min(math.floor(-math.log10(max(p, 1e-300)) * 20), 6000) / 20) for p in chances)
+    passing = [p for k, p in enumerate(rounded) if p * len(rounded) <= rate * sum(q <= p * 1.0000001 for q in rounded)]
+    return (max(passing) if passing else -1) * 1.0000001
+
+
+def slow_random(docs, rate=0.01):
+    """{(place of the text, start, end)} of the random spans of texts."""
+    tokens = [(i, m.start(), m.end(), m[0], *slow_battery(m[0])[:2], slow_battery(m[0])[-1]) for i, t in enumerate(docs) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t)]
+    groups = {}
+    for t in tokens:
+        groups.setdefault((t[4], int(math.log2(t[5]))), []).append(t)
+    out = set()
+    for own in groups.values():
+        even = steps_up([t[6] for t in own], rate)
+        chances = [1.0 if t[6] <= even else slow_chance(t[3], *t[4:]) for t in own]
+        least = steps_up(chances, rate)
+        out |= {t[:3] for t, p in zip(own, chances) if p <= least and t[6] > even}
+    return {s for s in out if not any(a <= s[1] and s[2] <= b for a, _, b in slow_base(docs[s[0]]))}
+
+
+def test_random_spans_against_plain_arithmetic(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("etaoinshrdlucm", k=rng.randrange(2, 9))) for _ in range(300)]
+    docs = []
+    for i in range(400):
+        own = rng.choices(words, k=20) + [rng.choice(["", "_", "-"]).join(rng.choices(words, k=5))]
+        if i % 3 == 0:
+            alphabet = rng.choice([string.ascii_letters + string.digits, string.ascii_uppercase + "234567", "0123456789abcdef", string.ascii_letters + string.digits + "+/"])
+            own.insert(rng.randrange(20), rng.choice(["", "token="]) + "".join(rng.choices(alphabet, k=rng.randrange(16, 60))))
+        docs.append("é " + " ".join(own))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r["doc_id"], s["start"], s["end"]) for r in secrets.scan(frame).collect() for s in r["spans"] if s["kind"] == "random"}
+    assert got == slow_random(docs) and len(got) > 40
 
 
 def random_tokens(n=60, seed=5):
@@ -59,7 +107,7 @@ def test_battery_against_plain_arithmetic(spark):
     for t in tokens:
         want = slow_battery(t)
         assert tuple(got[t])[:2] == want[:2]
-        assert tuple(got[t])[2:] == pytest.approx(want[2:], abs=2e-7)
+        assert tuple(got[t])[2:5] == pytest.approx(want[2:5], abs=2e-7) and got[t]["p_all"] == pytest.approx(want[5], abs=1e-5)
 
 
 def test_query_base_spans(spark):

@@ -32,15 +32,12 @@ ENCODINGS = (
     ("base62", r"^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
-#: Natural text: chance that two letters of it agree, that three do, and the share of its letters that are hex digits.
-REPEAT, TRIPLE, HEX_SHARE = 0.0667, 0.0054, 0.27
 #: Natural tokens as a chain of classes (upper, lower, digit, symbol; the last row is for the first character): chances of the next class, and below of the letters in a class.
 CHAIN = ((0.66, 0.25, 0.04, 0.05), (0.04, 0.87, 0.03, 0.06), (0.08, 0.12, 0.6, 0.2), (0.2, 0.6, 0.1, 0.1), (0.25, 0.6, 0.05, 0.1))
 #: Letters of English, a to z, in hundredths of a per cent; SPREAD of their chance is dealt evenly instead, for names and other languages.
 LETTERS, SPREAD = (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7), 0.1
-#: A token counts as random unless the battery rejects it at this level, corrected for its three tests.
-LEVEL = 0.001
-#: False-discovery rate among the tokens that are called random, held in each class of lengths by itself.
+#: False-discovery rate, in each class of encodings and lengths by itself, among the tokens that the battery rejects as not uniform,
+#: and among those that are called random.
 RATE = 0.01
 _BINS = 20  # a decade of the p-value
 
@@ -87,15 +84,20 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
+def combined(*chances: Column) -> Column:
+    """Fisher's combination of three chances, each taken as 10 ** -100 at least."""
+    x = -sum((F.log(F.greatest(p, F.lit(1e-100))) for p in chances[1:]), F.log(F.greatest(chances[0], F.lit(1e-100))))
+    return let(F.greatest(x, F.lit(0.0)), lambda x: F.exp(-x) * (1 + x + x * x / 2))
+
+
 def battery(token: Column) -> Column:
-    """(encoding, n, p_chi, p_runs, p_serial, p_text) of a token.
+    """(encoding, n, p_chi, p_runs, p_serial, p_all) of a token.
 
     The first three are chances, were the token uniform over its inferred alphabet of k:
     of so uneven letter counts (chi-squared, Wilson and Hilferty's normal form), of so odd
     a number of runs above and below the middle (Wald and Wolfowitz, two-sided) and of so
-    strong a correlation of neighbours (two-sided). p_text is the chance that natural text
-    of that length looks so random: that its letters agree so rarely, or, where the
-    alphabet is hex, that they all are hex digits. It falls with length by itself.
+    strong a correlation of neighbours (two-sided). p_all is the three combined (Fisher:
+    of minus the sum of their logarithms, x, the chance of more is exp(-x) (1 + x + x^2 / 2)).
     """
     clean = F.translate(token, "-_", "+/")
     which = F.coalesce(*[F.when(clean.rlike(p), F.lit(i)) for i, (_, p, _) in enumerate(ENCODINGS) if p], F.lit(len(ENCODINGS) - 1))
@@ -130,10 +132,8 @@ def battery(token: Column) -> Column:
         varies = a["ss"] - n * mu * mu
         serial = a["sx"] - mu * (2 * a["s"] - a["first"] - a["last"]) + (n - 1) * mu * mu
         p_serial = F.when(varies <= 1e-9, 0.0).otherwise(2 * upper_tail(F.abs(serial / F.greatest(varies, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))
-        agree = (c2 - n) / (n * (n - 1))
-        sd = F.sqrt(2 * REPEAT * (1 - REPEAT) / (n * (n - 1)) + 4 * (n - 2) / (n * (n - 1)) * (TRIPLE - REPEAT * REPEAT))
-        p_text = F.when(k == 16, F.pow(F.lit(HEX_SHARE), n)).otherwise(upper_tail((F.lit(REPEAT) - agree) / sd))
-        return F.struct(pick(r["which"], [e for e, _, _ in ENCODINGS]).alias("encoding"), a["n"].alias("n"), upper_tail(z_chi).alias("p_chi"), p_runs.alias("p_runs"), p_serial.alias("p_serial"), p_text.alias("p_text"))
+        chances = F.struct(upper_tail(z_chi).alias("p_chi"), p_runs.alias("p_runs"), p_serial.alias("p_serial"))
+        return let(chances, lambda p: F.struct(pick(r["which"], [e for e, _, _ in ENCODINGS]).alias("encoding"), a["n"].alias("n"), p["p_chi"].alias("p_chi"), p["p_runs"].alias("p_runs"), p["p_serial"].alias("p_serial"), combined(p["p_chi"], p["p_runs"], p["p_serial"]).alias("p_all")))
 
     named = let(F.struct(clean.alias("text"), which.alias("which")), lambda t: F.struct(t["text"].alias("text"), t["which"].alias("which"), pick(t["which"], [x for _, _, x in ENCODINGS]).alias("alphabet"), pick(t["which"], [len(x) for _, _, x in ENCODINGS]).alias("k")))
     return let(let(named, read), tests)
@@ -147,12 +147,12 @@ def _costs() -> list[float]:
 
 
 def p_natural(token: Column, t: Column) -> Column:
-    """Bound on the chance that natural text is so much likelier under the uniform law of the token's encoding than under its own.
+    """Bound on the chance that natural text looks so random: so much likelier under the uniform law of the token's encoding than under its own, and so well-behaved to the battery.
 
     A likelihood ratio Q / P has mean 1 under P, so P(Q / P >= x) <= 1 / x at every length
     (Markov). P is the chain of classes and letters above, so alternating cases and digits
-    and rare letters both count. Tokens that the battery rejects are given 1: only what
-    can be reported takes part in the false-discovery correction as a discovery.
+    and rare letters count. The battery's combined chance u joins as a factor 2 u, whose
+    mean is 1 where u is uniform and less where natural text makes it small.
     """
     values = F.transform(F.split(F.translate(token, "-_", "+/"), ""), lambda c: F.instr(F.lit(ENCODINGS[-1][2]), c) - 1)
     costs = F.array(*[F.lit(x) for x in _costs()])
@@ -160,12 +160,8 @@ def p_natural(token: Column, t: Column) -> Column:
     of = lambda v: F.when(v < 26, 0).when(v < 52, 1).when(v < 62, 2).otherwise(3)
     log = F.aggregate(values, zero, lambda a, v: F.struct(of(v).alias("after"), (a["log"] + F.get(costs, a["after"] * 64 + v)).alias("log")))["log"]
     sizes = F.create_map(*[F.lit(x) for name, _, letters in ENCODINGS for x in (name, float(len(letters)))])
-    ratio = log + t["n"] * F.log(F.element_at(sizes, t["encoding"]))
-    return F.when(_survives(t), F.exp(F.least(ratio, F.lit(0.0)))).otherwise(1.0)
-
-
-def _survives(t: Column) -> Column:
-    return 3 * F.least(t["p_chi"], t["p_runs"], t["p_serial"]) >= LEVEL
+    ratio = log + t["n"] * F.log(F.element_at(sizes, t["encoding"])) - F.log(2 * F.greatest(t["p_all"], F.lit(1e-300)))
+    return F.exp(F.least(ratio, F.lit(0.0)))
 
 
 def _class(t: Column) -> Column:
@@ -179,11 +175,11 @@ def _bin(p: Column) -> Column:
 
 
 def bars(tested: DataFrame, rate: float = RATE) -> dict[str, int]:
-    """By encoding and length class the least bin that is called random: Benjamini and Hochberg's step-up over all of the class's tokens.
+    """By encoding and length class the least bin that is a discovery: Benjamini and Hochberg's step-up over all of the class's tokens.
 
-    One aggregate over (t, p) rows; what comes back has at most 31 classes an encoding times 6001 bins.
+    One aggregate over (c, p) rows; what comes back has at most 31 classes an encoding times 6001 bins.
     """
-    counted = tested.groupBy(_class(F.col("t")).alias("c"), _bin(F.col("p")).alias("b")).count().collect()
+    counted = tested.groupBy("c", _bin(F.col("p")).alias("b")).count().collect()
     out = {}
     for c in {r["c"] for r in counted}:
         own = sorted(((r["b"], r["count"]) for r in counted if r["c"] == c), reverse=True)
@@ -218,10 +214,14 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     tokens = F.transform(located(text, CANDIDATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), battery(s["value"]).alias("t")))
     tokens = F.transform(tokens, lambda s: s.withField("p", p_natural(s["value"], s["t"])))
     rows = saved(docs.select("doc_id", F.concat(*base).alias("base"), tokens.alias("tokens")))
-    limits = bars(rows.select(F.explode("tokens").alias("s")).select("s.t", "s.p"), rate)
-    bar = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else F.create_map().cast("map<string,int>")
+    as_map = lambda limits: F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]).cast("map<string,int>") if limits else F.create_map().cast("map<string,int>")
+    found = lambda p, c, limits: F.coalesce(_bin(p) >= F.element_at(as_map(limits), c), F.lit(False))
+    each = rows.select(F.explode("tokens").alias("s")).select(_class(F.col("s.t")).alias("c"), F.col("s.t.p_all").alias("u"), "s.p")
+    uneven = bars(each.select("c", F.col("u").alias("p")), rate)
+    # What is not uniform takes part with chance 1: only what can be reported may be a discovery.
+    limits = bars(each.select("c", F.when(found(F.col("u"), F.col("c"), uneven), 1.0).otherwise(F.col("p")).alias("p")), rate)
     inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    random = F.filter("tokens", lambda s: _survives(s["t"]) & F.coalesce(_bin(s["p"]) >= F.element_at(bar, _class(s["t"])), F.lit(False)) & ~inside(s))
+    random = F.filter("tokens", lambda s: ~found(s["t"]["p_all"], _class(s["t"]), uneven) & found(s["p"], _class(s["t"]), limits) & ~inside(s))
     named = F.transform(random, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["t"]["encoding"].alias("detail")))
     spans = F.array_sort(F.concat("base", named))
     return rows.select("doc_id", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["detail"].alias("detail"))).alias("spans"))
