@@ -8,17 +8,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import saved
 from tidemark.llm.textvec import BASE, INVERSE, _powers, mixed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Most documents that training reads: those with the smallest crc32 of doc_id.
-SAMPLE = 2_000
-#: Letters of the longest piece that is used, and of the longest part of a word: longer words are cut.
-PIECE, PART = 12, 48
+#: Most documents of a language that training reads: those with the smallest crc32 of doc_id.
+SAMPLE = 500
+#: Letters of the longest word that training reads; prediction reads words of any length.
+TRAINED = 256
 ROUNDS = 3
+#: Letters from which a word's sum is taken by products of matrices, BESIDE places at once.
+LONG, BESIDE = 64, 2048
 #: Words a worker remembers between batches, and characters it splits at once.
 MEMORY, BLOCK = 400_000, 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
@@ -26,17 +29,12 @@ _START = "▁"
 
 
 def pieces_of(path: str = VOCABULARY) -> list[str]:
-    """The vocabulary's pieces of at most PIECE letters, lower-cased, once each."""
+    """The vocabulary's pieces of letters, lower-cased, once each."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p for p in found if 0 < len(p) <= PIECE and _WORD.fullmatch(p.removeprefix(_START) or "a")})
-
-
-def parts_of(words: list[str]) -> list[str]:
-    """Words with the vocabulary's start mark, cut into parts of at most PART letters."""
-    return [w[i : i + PART] for w in (_START + w for w in words) for i in range(0, len(w), PART)]
+    return sorted({p for p in found if p and _WORD.fullmatch(p.removeprefix(_START) or "a")})
 
 
 def words_of(text: str) -> list[str]:
@@ -50,27 +48,34 @@ class Lattice:
 
     keys: np.ndarray
     places: np.ndarray
+    longest: int
 
     @staticmethod
     def of(pieces: list[str]) -> Lattice:
         keys = np.array([Lattice.hashed(np.array([list(map(ord, p))], np.uint64))[0, -1] for p in pieces], np.uint64)
         order = np.argsort(keys)
-        return Lattice(keys[order], order)
+        return Lattice(keys[order], order, max(map(len, pieces)))
+
+    def pieces(self, runs: np.ndarray) -> np.ndarray:
+        """The piece that each row of code points is, or the number of pieces."""
+        key = self.hashed(runs)[:, 0]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.places[at], len(self.keys))
 
     @staticmethod
     def hashed(codes: np.ndarray) -> np.ndarray:
-        """Running sums from which ``run`` takes the hash of any run; of the last column, the whole row's."""
+        """The hash of each whole row, in one column."""
         sums = np.cumsum((codes + np.uint64(1)) * _powers(BASE, codes.shape[1]), axis=1)
         return mixed(sums[:, -1:] + np.uint64(codes.shape[1]))
 
     def runs(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, end, piece or the number of pieces) of every run of up to PIECE letters, ends ascending."""
+        """(start, end, piece or the number of pieces) of every run that may be a piece, ends ascending."""
         rows, n = codes.shape
         sums = np.zeros((rows, n + 1), np.uint64)
         np.cumsum((codes + np.uint64(1)) * _powers(BASE, n), axis=1, out=sums[:, 1:])
         down = _powers(INVERSE, n)
         for end in range(1, n + 1):
-            for start in range(max(0, end - PIECE), end):
+            for start in range(max(0, end - self.longest), end):
                 key = mixed((sums[:, end] - sums[:, start]) * down[start] + np.uint64(end - start))
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 yield start, end, np.where(self.keys[at] == key, self.places[at], len(self.keys))
@@ -101,6 +106,10 @@ class Model:
         out = np.zeros((len(parts), len(self.languages)))
         for places, codes in by_length(parts):
             rows, n = codes.shape
+            if n > LONG:
+                for row, place in zip(codes, places):
+                    out[place] = self._long(row)
+                continue
             ahead = np.zeros((n + 1, rows, len(self.languages)))
             ahead[0] = 1
             scale = np.zeros((rows, len(self.languages)))
@@ -112,10 +121,38 @@ class Model:
                 if start == end - 1 and end % 8 == 0 and end < n:  # keep numbers in range
                     top = ahead[end].copy()
                     scale += np.log(top)
-                    ahead[max(0, end - PIECE + 1) : end + 1] /= top
+                    ahead[max(0, end - self.lattice.longest + 1) : end + 1] /= top
             out[places] = scale + np.log(ahead[n])
         return out
 
+    def _long(self, codes: np.ndarray) -> np.ndarray:
+        """The same of one part of any length: each place is a matrix that maps the sums at the places
+        before it to those at and before it; they are multiplied in pairs, then pairs of pairs."""
+        deep, n = self.lattice.longest, len(codes)
+        sums, log = np.zeros((len(self.languages), deep)), np.zeros(len(self.languages))
+        sums[:, 0] = 1
+        for at in range(0, n, BESIDE):
+            stop, first = min(n, at + BESIDE), max(0, at - deep + 1)
+            step = np.zeros((stop - at, len(self.languages), deep, deep))
+            step[:, :, np.arange(1, deep), np.arange(deep - 1)] = 1
+            near = codes[first:stop]
+            for length in range(1, min(deep, len(near)) + 1):
+                windows = np.lib.stride_tricks.sliding_window_view(near, length)
+                ends = np.arange(first + length - 1, stop)
+                own = ends >= at
+                p = self.chance[self.lattice.pieces(windows[own])]
+                step[ends[own] - at, :, 0, length - 1] = np.where(p > 0, p, self.alone) if length == 1 else p
+            scale = np.zeros((stop - at, len(self.languages)))
+            while len(step) > 1:
+                odd, odd_scale = (step[-1:], scale[-1:]) if len(step) % 2 else (step[:0], scale[:0])
+                step, scale = step[1::2] @ step[: len(step) - 1 : 2], scale[1::2] + scale[: len(scale) - 1 : 2]
+                top = step.max(axis=(2, 3))
+                step, scale = np.concatenate([step / top[:, :, None, None], odd]), np.concatenate([scale + np.log(top), odd_scale])
+            sums = (step[0] @ sums[:, :, None])[:, :, 0]
+            top = sums.max(axis=1)
+            sums, log = sums / top[:, None], log + scale[0] + np.log(top)
+        return log + np.log(sums[:, 0])
+
 
 def fit(lattice: Lattice, languages: list[str], parts: list[str], counts: np.ndarray, rounds: int = ROUNDS, smooth: float = 0.5) -> Model:
     """Expectation maximisation: each round counts the pieces expected over all segmentations of the counted parts.
@@ -155,19 +192,27 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = SAMPLE, rounds: int = ROUNDS) -> Model | None:
-    """Learn from at most ``most`` documents with a lang that are not held out. No such document: no model."""
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    """Learn from at most ``most`` documents of each lang, none held out, with words of up to TRAINED letters.
+
+    The sample is a bound on training alone: of each language the documents with the
+    smallest crc32 of doc_id, a repeated doc_id once. No such document: no model.
+    """
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    chosen = known.select("doc_id").distinct().orderBy(order, "doc_id").limit(most)
+    number = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # Twice the share that is wanted passes by its crc32; the cut comes after.
+    some = known.withColumn("order", order).join(number, "lang").where((F.col("order") * F.col("n") <= F.lit(2.0 * most * 2**32)) | (F.col("n") <= 2 * most))
+    some = saved(some.groupBy("lang", "doc_id", "order").agg(F.min("text").alias("text")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+    sample = some.withColumn("place", place).where(F.col("place") <= most).select("lang", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
-                words = pd.Series(parts_of(words_of(text)), dtype=object).value_counts()
+                words = pd.Series([_START + w for w in words_of(text) if len(w) <= TRAINED], dtype=object).value_counts()
                 yield pd.DataFrame({"lang": lang, "part": words.index.astype(object), "n": words.to_numpy()})
 
-    # ``most`` identifiers are the bound of the broadcast; their documents' distinct words come back.
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
+    # The distinct words of ``most`` documents a language come back.
     table = sample.mapInPandas(counted, "lang string, part string, n long").groupBy("lang", "part").agg(F.sum("n").alias("n")).toPandas()
     if not len(table):
         return None
@@ -189,11 +234,9 @@ class Memory:
         if len(self.places) + len(new) > MEMORY:
             self.places, self.rows, new = {}, self.rows[:0], list(words)
         if new:
-            parts = [parts_of([w]) for w in new]
-            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-            chances = self.model.log_chances([p for own in parts for p in own])
+            chances = self.model.log_chances([_START + w for w in new])
             self.places.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.rows = np.concatenate([self.rows, np.add.reduceat(chances, np.cumsum(lengths) - lengths)])
+            self.rows = np.concatenate([self.rows, chances])
         return self.rows[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))]
 
 
