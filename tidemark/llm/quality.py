@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -227,13 +228,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Additive |
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label_"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["doc_id", "label_", *FEATURES])
 
-    # ``most`` identifiers are the bound of what is broadcast and of what comes back.
+    # ``most`` identifiers bound what is broadcast, and one row of each what comes back, however often a document is repeated.
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = own.mapInArrow(rows, "doc_id long, label_ double, " + ", ".join(f"{c} double" for c in FEATURES)).toPandas()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    each = own.mapInArrow(rows, f"doc_id {kind}, label_ double, " + ", ".join(f"{c} double" for c in FEATURES))
+    got = each.groupBy("doc_id").agg(F.min(F.struct("label_", *FEATURES)).alias("r")).select("doc_id", "r.*").toPandas()
     if not len(got):
         return None
-    got = got.sort_values(["doc_id", "label_", *FEATURES], kind="stable").drop_duplicates("doc_id")
-    got = got.iloc[np.argsort(mixed(got["doc_id"].to_numpy().astype(np.uint64)), kind="stable")]
+    order = np.array([zlib.crc32(str(i).encode()) for i in got["doc_id"]], np.uint64)
+    got = got.assign(order_=mixed(order)).sort_values(["order_", "doc_id"], kind="stable")
     return fit(got[list(FEATURES)].to_numpy(), got["label_"].to_numpy())
 
 
