@@ -39,15 +39,15 @@ def fingerprint(text: str | None, width: int = WIDTH, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp long) of every row; the text itself goes no further than the scan."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of ``keep`` and fp long of every row; a text that is not kept goes no further than the scan."""
 
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t, width, seed) for t in batch], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", of("text").alias("fp"))
+    return docs.select(*keep, of("text").alias("fp"))
 
 
 def join_close(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
