@@ -14,7 +14,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier does not reject; without labels all."""
+    """The documents that the quality classifier does not reject; without labels all.
+
+    Null and empty texts are scored like any other, alike; rows without a doc_id are
+    scored but never trained on; repeated rows stay or go together; further columns are dropped;
+    no rows give none.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     if model is None:
         return docs.select(*COLUMNS)
@@ -24,37 +29,58 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id.
 
-    Rows without a doc_id take part but are only kept where their whole group has none;
-    rows that repeat a doc_id that stays are kept once.
+    Rows without a doc_id take part, and one is kept where its whole group has none. Rows
+    alike in doc_id are told apart by their fingerprint, then by their text, lang, source
+    and n_chars, of which the least is kept; so are rows without one. Null and empty texts are one
+    group. Further columns are dropped; no rows give none.
     """
     groups = saved(simhash.near_groups(docs))
-    heads = saved(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = docs.select(*COLUMNS).join(heads.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    if not heads.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    nameless = groups.where("component_id IS NULL").groupBy("fp").agg(F.count("*").alias("n"))
-    if not nameless.isEmpty():
-        prints = simhash.fingerprints(docs.where("doc_id IS NULL").withColumn("doc_id", F.col("text")).select("doc_id", "text")).join(nameless.select("fp"), "fp", "left_semi").select(F.col("doc_id").alias("text_"))
-        nobody = docs.select(*COLUMNS).where("doc_id IS NULL").join(prints.distinct(), F.col("text").eqNullSafe(F.col("text_")), "left_semi")
-        kept = kept.union(nobody.dropDuplicates(["text"]))
-    return kept.select(*COLUMNS)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    heads = groups.groupBy("label").agg(F.min(order).alias("head")).select(F.col("head.doc_id").alias("of_id"), F.col("head.fp").alias("of_fp"))
+    again = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    heads = saved(heads.join(again.withColumn("again", F.lit(True)), F.col("of_id") == F.col("doc_id"), "left").select("of_id", "of_fp", (F.col("of_id").isNull() | F.coalesce("again", F.lit(False))).alias("odd")))
+    rows = docs.select(*COLUMNS)
+    clear = rows.join(heads.where("NOT odd").select("of_id").hint("merge"), F.col("doc_id") == F.col("of_id"), "left_semi")
+    odd = heads.where("odd").select("of_id", "of_fp")
+    if odd.isEmpty():
+        return clear
+    # An identifier that is repeated or missing does not tell the row: its fingerprint does.
+    alike = rows.join(odd.select("of_id").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi")
+    prints = simhash.fingerprints(alike, keep=tuple(COLUMNS))
+    kept = prints.join(odd.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("fp") == F.col("of_fp")), "left_semi")
+    return clear.union(kept.groupBy("doc_id", "fp").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*").select(*COLUMNS))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that contain no benchmark item."""
+    """The documents that contain no benchmark item.
+
+    Null and empty texts contain none; rows without a doc_id and repeated rows are each
+    judged by their text; further columns are dropped; no rows give none.
+    """
     return decontam.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times."""
+    """Each document as often as the mix takes it, up to three times.
+
+    A null source is a source; null and empty texts are taken once. Rows alike in doc_id,
+    source and size, null doc_ids among them, get the copies of the one of them that gets most.
+    Further columns are dropped; no rows give none.
+    """
     mixed = mixing.fair_queue(docs)
-    copies = saved(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")))
-    copied = docs.select(*COLUMNS).join(copies.where("copies > 0").withColumnRenamed("doc_id", "of").hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")))
+    copies = saved(mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")))
+    copies = copies.where("copies > 0").select(F.col("doc_id").alias("of"), F.col("source").alias("from_"), F.col("size").alias("size_"), "copies")
+    own = docs.select(*COLUMNS).withColumn("words_", mixing.word_count(F.col("text")))
+    copied = own.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("from_")) & (F.col("words_") == F.col("size_")))
     return copied.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot) of every row of the mix."""
+    """(doc_id, size, text_crc32, shard, slot) of every row of the mix.
+
+    A null text has size 8 and crc 0; repeated rows and rows without a doc_id each have
+    their slot; further columns are ignored; no rows give none.
+    """
     return sharding.histogram_shards(docs).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
@@ -64,6 +90,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
