@@ -24,8 +24,8 @@ WIDTH = 5
 BANDS, ROWS = 15, 5
 BINS = BANDS * ROWS
 #: Minima whose low four bits make a line's sketch, by which pairs far below the similarity are told apart:
-#: what agrees in ``BELOW`` standard deviations less than expected is not compared (1 in 30,000 at the similarity itself).
-SKETCH, BELOW = 64, 4.0
+#: what agrees in ``BELOW`` standard deviations less than expected is not compared (1 in 700 at the similarity itself).
+SKETCH, BELOW = 64, 3.0
 #: Rounds of comparing with one centre a bucket before the rest is compared across components.
 ROUNDS = 2
 #: Characters handled at once.
@@ -243,15 +243,15 @@ def _checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(np.diff(text_bytes(left)[1]) + np.diff(text_bytes(right)[1]))])
             close = np.zeros(batch.num_rows, bool)
             for first, last in chunks(offsets, 1 << 20):
-                for at in range(first, last, 1 << 13):  # thirteen bits of a key tell the pair, the others are the shingle's
-                    stop = min(last, at + (1 << 13))
-                    sets = []
-                    for side in (left, right):
-                        cut = [(of.astype(np.uint64) << np.uint64(51)) | (h >> np.uint64(13)) for h, of in shingles(side.slice(at, stop - at))]
-                        sets.append(np.unique(np.concatenate(cut)) if cut else np.zeros(0, np.uint64))
-                    count = lambda keys: np.bincount((keys >> np.uint64(51)).astype(np.int64), minlength=stop - at)  # noqa: E731, B023
-                    shared = count(np.intersect1d(*sets, assume_unique=True))
-                    close[at:stop] = shared >= least * (count(sets[0]) + count(sets[1]) - shared) - 1e-9
+                for at in range(first, last, 1 << 12):
+                    stop = min(last, at + (1 << 12))
+                    # Twelve bits of a number tell the pair, the last one the side, those between the shingle.
+                    cut = [(of.astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(13) << np.uint64(1)) | np.uint64(k) for k, side in enumerate((left, right)) for h, of in shingles(side.slice(at, stop - at))]
+                    found = np.sort(np.concatenate(cut)) if cut else np.zeros(0, np.uint64)
+                    found = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
+                    count = lambda keys: np.bincount((keys >> np.uint64(52)).astype(np.int64), minlength=stop - at)  # noqa: E731, B023
+                    shared = count(found[:-1][found[1:] ^ found[:-1] == np.uint64(1)])
+                    close[at:stop] = shared >= least * (count(found) - shared) - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(close))
 
     side = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
