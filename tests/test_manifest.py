@@ -1,7 +1,11 @@
+import os
+import time
+
 import pytest
 
 from tidemark.sources import manifest as M
 
+# The published example of the format.
 SEGMENT = {"name": "segments/0000000000000006-0000000000000000.oseg", "bytes": 416, "record_count": 4, "min_key": b"alpha", "max_key": b"delta", "min_lamport": 1, "max_lamport": 4}
 
 
@@ -16,6 +20,12 @@ def test_read_as_tables(spark, tmp_path):
     assert sorted((int(r["epoch"]), int(r["committed_lamport"])) for r in frame.collect()) == [(6, 9), (7, 2**64 - 1)]
     rows = M.segments_of(frame).orderBy("epoch").collect()
     assert [bytes(r["min_key"]) for r in rows] == [b"alpha"] * 2 and [r["source_partition_id"] and int(r["source_partition_id"]) for r in rows] == [None, 3]
+    for old, new in (('"epoch"', '"mood": 1, "epoch"'), ('"start"', '"middle": "", "start"'), ('"min_key"', '"min_kay": "", "min_key"')):
+        (tmp_path / "a.json").write_text(text(6).replace(old, new, 1))
+        with pytest.raises(Exception, match="unknown fields"):
+            M.read_manifests(spark, str(tmp_path / "a.json")).collect()
+    (tmp_path / "a.json").write_text(text(6, segments=()))
+    assert M.read_manifests(spark, str(tmp_path / "a.json")).first()["segments"] == []
     (tmp_path / "a.json").write_text("{broken")
     with pytest.raises(Exception):
         M.read_manifests(spark, str(tmp_path / "a.json")).collect()
@@ -39,3 +49,6 @@ def test_commit_is_guarded(tmp_path):
     (tmp_path / "manifest.json.lock").touch()
     with pytest.raises(M.Conflict):
         M.commit(path, 8, lambda old: text(8))
+    old = time.time() - 2 * M.LOCK_SECONDS
+    os.utime(path + ".lock", (old, old))
+    assert M.commit(path, 8, lambda old: text(8))["epoch"] == 8

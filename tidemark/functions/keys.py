@@ -36,6 +36,11 @@ def in_range(key: Column, start: Column, end: Column) -> Column:
     return (key >= start) & (end.isNull() | (key < end))
 
 
+def range_display(start: Column, end: Column) -> Column:
+    """A range as operators read it: [-inf, m), [m, +inf)."""
+    return F.concat(F.lit("["), F.when(start == "", "-inf").otherwise(start), F.lit(", "), F.coalesce(end, F.lit("+inf")), F.lit(")"))
+
+
 def fnv1a(data: bytes) -> int:
     value = FNV_OFFSET
     for byte in data:

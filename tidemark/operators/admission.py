@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import fold
+
 MILLI = 1000
 
 
@@ -13,25 +15,23 @@ def token_buckets(requests: DataFrame) -> DataFrame:
 
     A bucket of ``rate`` a second holds one second of it and starts full; the clock moves
     only once a whole milli-token has accrued, so frequent polling loses nothing. A null
-    rate is unlimited, a rate of 0 admits nothing, a changed rate builds a new full bucket.
-    Each bucket's (place, time, rate) are folded as one array.
+    rate is unlimited and leaves the bucket as it was, a rate of 0 admits nothing, a
+    changed rate builds a new full bucket. Each bucket's requests stream past its (tokens, last, rate).
     """
-    ordered = F.array_sort(F.collect_list(F.struct("place", "at_micros", "rate")))
-    state = "struct<tokens:bigint,last:bigint,rate:bigint,out:array<struct<place:bigint,admitted:boolean>>>"
-    start = F.struct(F.lit(0), F.lit(None), F.lit(None), F.array()).cast(state)
-
-    def step(a, x):
-        full = x["rate"] * MILLI
-        fresh = a["last"].isNull() | (a["rate"] != x["rate"])
-        refill = F.when(fresh, F.lit(0).cast("long")).otherwise(F.floor((F.greatest(x["at_micros"] - a["last"], F.lit(0)) * x["rate"]).cast("decimal(38,0)") / MILLI).cast("long"))
-        tokens = F.when(fresh, full).when(refill > 0, F.least(a["tokens"] + refill, full)).otherwise(a["tokens"])
-        last = F.when(fresh | (refill > 0), x["at_micros"]).otherwise(a["last"])
-        takes = tokens >= MILLI
-        out = F.struct(x["place"].alias("place"), takes.alias("admitted"))
-        return F.struct(F.when(takes, tokens - MILLI).otherwise(tokens), last, x["rate"], F.concat(a["out"], F.array(out))).cast(state)
-
-    limited = requests.where("rate IS NOT NULL").groupBy("bucket").agg(F.aggregate(ordered, start, step)["out"].alias("out")).select("bucket", F.inline("out"))
-    return limited.unionByName(requests.where("rate IS NULL").select("bucket", "place", F.lit(True).alias("admitted")))
+    limited = requests.select("bucket", "place", "at_micros", "rate").where("rate IS NOT NULL")
+    folded = fold(limited, ["bucket"], ["place"], ["at_micros", "rate"], "admitted boolean", lambda: (0, None, None), take_token)
+    return folded.select("bucket", "place", "admitted").unionByName(requests.where("rate IS NULL").select("bucket", "place", F.lit(True).alias("admitted")))
+
+
+def take_token(bucket: tuple, now: int, rate: int) -> tuple[tuple, tuple[bool]]:
+    """The bucket (milli-tokens, last refill, rate) after a request at ``now``, and whether that is admitted."""
+    tokens, last, old = bucket
+    if last is None or old != rate:
+        tokens, last = rate * MILLI, now
+    elif (refill := max(0, now - last) * rate // MILLI) > 0:
+        tokens, last = min(tokens + refill, rate * MILLI), now
+    takes = tokens >= MILLI
+    return (tokens - MILLI * takes, last, rate), (takes,)
 
 
 def rate_share(limit: Column, nodes: Column) -> Column:

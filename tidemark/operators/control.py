@@ -47,6 +47,22 @@ def placement(nodes: DataFrame, partitions: DataFrame, replicas: DataFrame) -> D
     return rows.withColumn("rank", F.row_number().over(Window.orderBy("held", "node_id")).cast("long"))
 
 
+def child_owner(partitions: DataFrame, prepared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(partition_id, child_owner): of the ``prepared`` (partition_id, node_id) and eligible nodes the one that owns least, ties by id; else the parent's owner.
+
+    What a node holds does not count: in a small cluster all hold the same.
+    """
+    owned = partitions.where("owner IS NOT NULL").groupBy(F.col("owner").alias("node_id")).agg(F.count("*").alias("owned"))
+    able = prepared.select("partition_id", "node_id").join(eligible(nodes).select("node_id"), "node_id", "left_semi").join(owned, "node_id", "left")
+    best = able.groupBy("partition_id").agg(F.min(F.struct(F.coalesce("owned", F.lit(0)).alias("owned"), "node_id"))["node_id"].alias("best"))
+    return partitions.select("partition_id", "owner").join(best, "partition_id", "left").select("partition_id", F.coalesce("best", "owner").alias("child_owner"))
+
+
+def read_replica_want(target: Column, floor: Column, placeable: Column) -> Column:
+    """How many replicas reads may have: up to one below half the nodes, but never fewer than durability asks for."""
+    return F.greatest(F.least(target, F.greatest(F.floor(placeable / 2) - 1, F.lit(0))), floor)
+
+
 def poisoned_sum(x: Column) -> Column:
     """Null as soon as one part is unknown; no parts: 0."""
     return F.when(F.count(F.lit(1)) == F.count(x), F.coalesce(F.sum(x), F.lit(0)))

@@ -5,27 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import in_range
+from tidemark.operators.intervals import BLOCK, Held, locate
 
-#: Partitions of a keyspace up to which its map is sent to all executors (rows of about 100 bytes).
-SENT = 200_000
 
-
-def route(keys: DataFrame, partitions: DataFrame) -> DataFrame:
+def route(keys: DataFrame, partitions: DataFrame, block: int = BLOCK) -> DataFrame:
     """Each row of ``keys`` (keyspace_id, key, ...) with its partition_id; unrouted rows are left out.
 
-    The keyspace equality makes it a hash join with a residual range test. A map too large
-    to send is merged with the keys instead: within a keyspace the last start at or below
-    a key is its partition's.
+    A key of several partitions (in a map with overlaps) gives a row each.
     """
-    ranges = partitions.select("keyspace_id", "partition_id", "start_key", "end_key")
-    if ranges.count() <= SENT:
-        return keys.join(F.broadcast(ranges), "keyspace_id").where(in_range(F.col("key"), F.col("start_key"), F.col("end_key"))).drop("start_key", "end_key")
-    marks = ranges.select("keyspace_id", F.col("start_key").alias("key"), F.struct("partition_id", "end_key").alias("p"))
-    both = keys.withColumn("row", F.struct(*keys.columns)).select("keyspace_id", "key", "row").unionByName(marks, allowMissingColumns=True)
-    floor = F.last("p", ignorenulls=True).over(Window.partitionBy("keyspace_id").orderBy("key", F.col("row").isNotNull()))
-    found = both.withColumn("p", floor).where("row IS NOT NULL").where(F.col("p").isNotNull() & (F.col("p.end_key").isNull() | (F.col("key") < F.col("p.end_key"))))
-    return found.select("row.*", "p.partition_id")
+    ranges = partitions.select("keyspace_id", "start_key", "end_key", "partition_id")
+    kind = partitions.schema["partition_id"].dataType.simpleString()
+    found = locate(keys, ranges, Held, f"ids_ array<{kind}>", lambda before, now: ([*before[0], *(now or ())],), ([],), block=block)
+    return found.select(*keys.columns, F.explode("ids_").alias("partition_id"))
 
 
 def coverage_errors(partitions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import expired, in_prefix, visible
+from tidemark.operators.folds import fold
 
 KEY = ["keyspace_id", "key"]
 ENTRY_OVERHEAD = 64
@@ -24,16 +25,16 @@ def replay_above(base: DataFrame, log: DataFrame, horizon: Column | int) -> Data
     return replay(base.withColumnRenamed("version", "lamport").select(*KEY, "lamport", *RECORD).unionByName(log.where(F.col("lamport") > horizon).select(*KEY, "lamport", *RECORD)))
 
 
-def clock(log: DataFrame) -> int:
-    """The log's own latest time, as the clock reading that queries are given."""
-    return log.agg(F.max("now_millis")).first()[0]
+def clock(log: DataFrame) -> Column:
+    """The log's own latest time, as the clock reading that queries are given: a one-row side of the plan, not a scan before it."""
+    return log.agg(F.max("now_millis")).scalar()
 
 
-def live(state: DataFrame, now: int) -> DataFrame:
+def live(state: DataFrame, now: Column | int) -> DataFrame:
     return state.where(visible(F.col("deleted"), F.col("expires_at_millis"), now))
 
 
-def reclaimable(state: DataFrame, now: int) -> DataFrame:
+def reclaimable(state: DataFrame, now: Column | int) -> DataFrame:
     return state.where(F.col("deleted") | expired(F.col("expires_at_millis"), now))
 
 
@@ -42,23 +43,28 @@ def saturating_expiry(now: Column, ttl: Column) -> Column:
     return F.when(ttl.isNotNull(), F.coalesce(F.try_add(now, ttl), F.lit(MAX_LONG)))
 
 
+def reclaim_deadline(op: Column, deadline: Column) -> Column:
+    """When a logged delete's tombstone may go: at its deadline, at once (0) where the entry has none; null for a put."""
+    return F.when(op == "delete", F.coalesce(deadline, F.lit(0).cast("long")))
+
+
 def footprint(key: Column, value_bytes: Column) -> Column:
     return F.octet_length(key) + value_bytes + ENTRY_OVERHEAD
 
 
-def multi_get(keys: DataFrame, state: DataFrame, now: int) -> DataFrame:
+def multi_get(keys: DataFrame, state: DataFrame, now: Column | int) -> DataFrame:
     """One row a wanted key: found or not, never an error."""
     rows = live(state, now).withColumn("found", F.lit(True))
     return keys.join(rows, KEY, "left").select(*KEY, F.coalesce("found", F.lit(False)).alias("found"), "version", "value_bytes", "expires_at_millis")
 
 
-def overlay(state: DataFrame, pending: DataFrame, now: int) -> DataFrame:
+def overlay(state: DataFrame, pending: DataFrame, now: Column | int) -> DataFrame:
     """Committed records under writes in flight: the higher version wins, a pending delete hides."""
     both = state.select(*KEY, F.col("version").alias("lamport"), *RECORD).unionByName(pending.select(*KEY, "lamport", *RECORD))
     return live(replay(both), now)
 
 
-def listing(state: DataFrame, prefix: str, now: int) -> DataFrame:
+def listing(state: DataFrame, prefix: str, now: Column | int) -> DataFrame:
     """Live keys under a prefix. The range form reaches the scan; order is the caller's."""
     return live(state.where(in_prefix(F.col("key"), prefix)), now)
 
@@ -70,19 +76,16 @@ def pages(rows: DataFrame, limit: int, by: list[str]) -> DataFrame:
 
 
 def pages_by_bytes(rows: DataFrame, max_bytes: int, limit: int, by: list[str], size: Column) -> DataFrame:
-    """Page numbers by bytes and count, whichever binds first; a page's first entry always goes in.
+    """``rows`` with page numbers by bytes and count, whichever binds first; a page's first entry always goes in.
 
-    Each page's start depends on the last one's, so the keys of a group are folded in
-    order, as (key, size) pairs alone, and only page starts are kept; rows then find
-    their page by an interval join on the group.
+    Each page's start depends on the last one's, so a group's keys stream in order past (page, bytes, entries).
     """
-    ordered = F.array_sort(F.collect_list(F.struct("key", size.cast("long").alias("size"))))
-    start = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("starts"))
 
-    def step(a: Column, x: Column) -> Column:
-        full = (a["n"] == 0) | (a["bytes"] + x["size"] > max_bytes) | (a["n"] >= limit)
-        return F.struct(F.when(full, x["size"]).otherwise(a["bytes"] + x["size"]).alias("bytes"), F.when(full, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), F.when(full, F.concat(a["starts"], F.array(x["key"]))).otherwise(a["starts"]).alias("starts"))
+    def step(page: tuple[int, int, int], own: int) -> tuple[tuple, tuple[int]]:
+        number, held, entries = page
+        if not entries or held + own > max_bytes or entries >= limit:
+            return (number + 1, own, 1), (number + 1,)
+        return (number, held + own, entries + 1), (number,)
 
-    starts = rows.groupBy(*by).agg(F.aggregate(ordered, start, step)["starts"].alias("starts"))
-    ranges = starts.select(*by, F.posexplode("starts").alias("page", "from_key"), "starts").withColumn("to_key", F.get("starts", F.col("page") + 1)).drop("starts")
-    return rows.join(ranges, by).where((F.col("key") >= F.col("from_key")) & (F.col("to_key").isNull() | (F.col("key") < F.col("to_key")))).withColumn("page", F.col("page").cast("long")).drop("from_key", "to_key")
+    sized = rows.withColumn("size_", size.cast("long"))
+    return fold(sized, by, ["key"], ["size_"], "page long", lambda: (-1, 0, 0), step).drop("size_")

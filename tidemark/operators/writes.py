@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tidemark.operators.folds import fold
 
 TOMBSTONE_MILLIS = 24 * 3600 * 1000
 KEY = ["keyspace_id", "key"]
 OUTCOME = "lamport long, op string, applied boolean, found_version long, new_version long"
-#: Requests of a key up to which they are folded as an array; a longer history is streamed to a Python fold, batch by batch.
-LONG_HISTORY = 100_000
 
 
 class Cell:
@@ -44,56 +40,18 @@ class Cell:
         return True, found, lamport
 
 
-def cas_fold(requests: DataFrame) -> DataFrame:
+def cas(requests: DataFrame, layer: str = "server") -> DataFrame:
     """(keyspace_id, key, lamport, op, applied, found_version, new_version) of every write request.
 
     Requests: keyspace_id, key, lamport, op (put or delete), cond, expected,
-    expires_at_millis, now_millis. Each key's requests are folded in order of lamport, on
-    the JVM, by the server's rules. A condition sees expired and deleted records as absent;
-    what fails returns the version it found.
+    expires_at_millis, now_millis. Each key's requests are folded in order of lamport by
+    the rules of ``layer``, one record in memory. A condition sees expired and deleted
+    records as absent; what fails returns the version it found.
     """
-    fields = F.struct("lamport", "op", "cond", "expected", "expires_at_millis", "now_millis")
-    ordered = F.array_sort(F.collect_list(fields))
-    state = "struct<version:bigint,expires:bigint,out:array<struct<lamport:bigint,op:string,applied:boolean,found_version:bigint,new_version:bigint>>>"
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    start = F.struct(zero.alias("version"), none.alias("expires"), F.array().alias("out")).cast(state)
-
-    def step(a, x):
-        # A tombstone is an absent record to every server rule, so version 0 stands for both.
-        found = F.when((a["version"] == 0) | F.coalesce(x["now_millis"] >= a["expires"], F.lit(False)), zero).otherwise(a["version"])
-        held = F.when(x["cond"] == "if_not_present", found == 0).when(x["cond"] == "if_version", found.eqNullSafe(x["expected"])).otherwise(True)
-        writes = held & ((x["op"] == "put") | (found > 0))
-        version = F.when(writes, F.when(x["op"] == "put", x["lamport"]).otherwise(zero)).otherwise(a["version"])
-        expires = F.when(writes, F.when(x["op"] == "put", x["expires_at_millis"])).otherwise(a["expires"])
-        out = F.struct(x["lamport"].alias("lamport"), x["op"].alias("op"), held.alias("applied"), found.alias("found_version"), F.when(writes, x["lamport"]).otherwise(zero).alias("new_version"))
-        return F.struct(version.alias("version"), expires.alias("expires"), F.concat(a["out"], F.array(out)).alias("out")).cast(state)
-
-    folded = requests.groupBy(*KEY).agg(F.aggregate(ordered, start, step)["out"].alias("out"))
-    return folded.select(*KEY, F.inline("out"))
-
-
-def cas_fold_long(requests: DataFrame, layer: str = "server") -> DataFrame:
-    """The same for histories too long for an array: rows sorted within hash partitions, one record in memory a key."""
-    columns = [*KEY, "lamport", "op", "cond", "expected", "expires_at_millis", "now_millis"]
-    ordered = requests.select(*columns).repartition(*KEY).sortWithinPartitions(*KEY, "lamport")
-    none = lambda v: None if v is None or v != v else int(v)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, cell = None, Cell(layer=layer)
-        for batch in batches:
-            out = []
-            for ks, key, lamport, op, cond, expected, expires, now in batch.itertuples(index=False):
-                if (ks, key) != current:
-                    current, cell = (ks, key), Cell(layer=layer)
-                out.append((ks, key, lamport, op, *cell.apply(lamport, op, cond, none(expected), none(expires), now)))
-            yield pd.DataFrame(out, columns=[*KEY, "lamport", "op", "applied", "found_version", "new_version"])
-
-    return ordered.mapInPandas(fold, "keyspace_id long, key string, " + OUTCOME)
 
+    def step(cell: Cell, *request) -> tuple[Cell, tuple]:
+        return cell, cell.apply(*request)
 
-def cas(requests: DataFrame, long_history: int = LONG_HISTORY) -> DataFrame:
-    """Each key by the fold that suits its history: the array's where it is bounded, the streamed one beyond."""
-    long_keys = requests.groupBy(*KEY).count().where(F.col("count") > long_history).select(*KEY)
-    if long_keys.isEmpty():
-        return cas_fold(requests)
-    return cas_fold(requests.join(long_keys, KEY, "left_anti")).union(cas_fold_long(requests.join(long_keys, KEY, "left_semi")))
+    reads = ["lamport", "op", "cond", "expected", "expires_at_millis", "now_millis"]
+    folded = fold(requests.select(*KEY, *reads), KEY, ["lamport"], reads, "applied boolean, found_version long, new_version long", lambda: Cell(layer=layer), step)
+    return folded.select(*KEY, "lamport", "op", "applied", "found_version", "new_version")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.folds import fold
 from tidemark.plans.registry import query
 
+
 def by_partition(*order: str):
     window = Window.partitionBy("partition_id")
     return window.orderBy(*order) if order else window
@@ -147,21 +149,23 @@ def replica_may_serve(t):
     """
     kind = F.when(F.col("position") % 10 == 0, "grant").when((F.col("position") % 10).isin(3, 6), "applied").when(F.col("position") % 10 == 8, "read").otherwise("invalidate")
     events = t("wal").select("partition_id", "position", kind.alias("kind"), (F.col("position") % 170 == 61).alias("lost")).withColumn("seq", F.count_if(F.col("kind") == "invalidate").over(by_partition("position")))
-    ordered = F.array_sort(F.collect_list(F.struct("position", "kind", "lost", "seq")))
-    state = "struct<expects:bigint,gap:boolean,until:bigint,applied:bigint,out:array<struct<position:bigint,may_serve:boolean>>>"
-    start = F.struct(F.lit(1), F.lit(False), F.lit(-1), F.lit(0), F.array()).cast(state)
-
-    def step(a, x):
-        told = (x["kind"] == "invalidate") & ~x["lost"]
-        beyond, grant, takes = told & (x["seq"] > a["expects"]), x["kind"] == "grant", (x["kind"] == "grant") & (a["expects"] > x["seq"])
-        serves = (x["position"] < a["until"]) & ~a["gap"] & (a["expects"] - 1 == a["applied"])
-        return F.struct(
-            F.when(told & (x["seq"] >= a["expects"]), x["seq"] + 1).otherwise(a["expects"]), F.when(beyond, True).when(takes, False).otherwise(a["gap"]),
-            F.when(beyond | (grant & ~takes), F.lit(-1)).when(takes, x["position"] + 25).otherwise(a["until"]), F.when(x["kind"] == "applied", a["expects"] - 1).otherwise(a["applied"]),
-            F.when(x["kind"] == "read", F.concat(a["out"], F.array(F.struct(x["position"].alias("position"), serves.alias("may_serve"))))).otherwise(a["out"]),
-        ).cast(state)
-
-    return events.groupBy("partition_id").agg(F.aggregate(ordered, start, step)["out"].alias("out")).select("partition_id", F.inline("out"))
+
+    def step(held, position, kind, lost, seq):
+        expects, gap, until, applied = held
+        serves = position < until and not gap and expects - 1 == applied
+        if kind == "invalidate" and not lost:
+            if seq > expects:
+                gap, until = True, -1
+            expects = max(expects, seq + 1) if seq >= expects else expects
+        elif kind == "grant":
+            takes = expects > seq
+            gap, until = (False, position + 25) if takes else (gap, -1)
+        elif kind == "applied":
+            applied = expects - 1
+        return (expects, gap, until, applied), (serves,)
+
+    folded = fold(events, ["partition_id"], ["position"], ["position", "kind", "lost", "seq"], "may_serve boolean", lambda: (1, False, -1, 0), step)
+    return folded.where("kind = 'read'").select("partition_id", "position", "may_serve")
 
 
 @query("wal acks", QUORUM + " SELECT w.partition_id, w.lamport, w.key FROM wal w JOIN q USING (partition_id) WHERE w.lamport > q.committed")

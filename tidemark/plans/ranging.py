@@ -57,10 +57,7 @@ def held_by(t):
 @query("mutations segments", """SELECT q.keyspace_id, q.key, count(s.name) AS candidates, arg_max(s.name, s.max_lamport) AS newest FROM (SELECT DISTINCT keyspace_id, key FROM mutations) q LEFT JOIN segments s ON s.keyspace_id = q.keyspace_id AND s.min_key <= q.key AND q.key <= s.max_key GROUP BY 1, 2""")
 def segment_candidates(t):
     """Runs whose key bounds may hold a key: file skipping by zone map."""
-    keys = t("mutations").select(*S.KEY).distinct()
-    runs = t("segments").select(F.col("keyspace_id").alias("ks"), "name", "min_key", "max_key", "max_lamport")
-    met = keys.join(runs, (F.col("ks") == F.col("keyspace_id")) & (F.col("min_key") <= F.col("key")) & (F.col("key") <= F.col("max_key")), "left")
-    return met.groupBy(*S.KEY).agg(F.count("name").alias("candidates"), F.max_by("name", "max_lamport").alias("newest"))
+    return L.candidate_runs(t("mutations").select(*S.KEY).distinct(), t("segments")).select(*S.KEY, "candidates", "newest")
 
 
 @query("broken_map", """WITH o AS (SELECT *, lag(end_key) OVER w AS before, row_number() OVER w = 1 AS first, lead(start_key) OVER w IS NULL AS last FROM broken_map WINDOW w AS (PARTITION BY keyspace_id ORDER BY start_key, partition_id))

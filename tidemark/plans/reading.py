@@ -20,7 +20,7 @@ def state_sql(body: str) -> str:
     return "WITH " + STATE + (", " + body[5:] if body.startswith("WITH ") else " " + body)
 
 
-def _now(t: Tables) -> int:
+def _now(t: Tables):
     return S.clock(t("mutation_log"))
 
 

@@ -12,7 +12,8 @@ from tidemark.functions.keys import in_range
 from tidemark.operators import lsm as L
 from tidemark.operators import state as S
 from tidemark.plans.registry import query
-from tidemark.sources.segment import read_segments, write_segments
+from tidemark.session import shared_folder
+from tidemark.sources.segment import read_objects, write_segments
 
 MID = "(SELECT (min(now_millis) + max(now_millis)) // 2 FROM mutation_log)"
 WON = """won AS (SELECT keyspace_id, key, max(lamport) AS lamport, max_by(sequence, lamport) AS sequence, max_by(deleted, lamport) AS deleted, max_by(value_bytes, lamport) AS value_bytes, arg_max_null(expires_at_millis, lamport) AS expires_at_millis FROM {src} GROUP BY 1, 2)"""
@@ -23,9 +24,9 @@ ALL = "WITH " + WON.format(src="segment_records")
 USES = "mutation_log segment_records segments"
 
 
-def _mid(t) -> int:
-    low, high = t("mutation_log").agg(F.min("now_millis"), F.max("now_millis")).first()
-    return (low + high) // 2
+def _mid(t):
+    """The middle of the log's times, as a one-row side of the plan."""
+    return t("mutation_log").agg(F.expr("(min(now_millis) + max(now_millis)) div 2")).scalar()
 
 
 @query("mutations", """WITH h AS (SELECT keyspace_id, max(lamport) - 300 AS horizon FROM mutations GROUP BY 1), n AS (SELECT keyspace_id, key, max(lamport) AS version FROM mutations GROUP BY 1, 2)
@@ -159,17 +160,14 @@ def shared_segments(t):
     return t("segments").where("source IS NOT NULL").groupBy("source").agg(F.array_join(names, ",").alias("names"), F.size(F.collect_set("name")).cast("long").alias("n"))
 
 
-@query("segment_records", "SELECT keyspace_id, key, lamport, expires_at_millis, deleted, CASE WHEN NOT deleted THEN repeat('v', CAST(value_bytes % 97 AS INT)) END AS value FROM segment_records WHERE sequence < 2")
+@query("segment_records", "SELECT keyspace_id, key, lamport, expires_at_millis, deleted, CASE WHEN NOT deleted THEN repeat('v', CAST(value_bytes % 97 AS INT)) END AS value FROM segment_records")
 def read_segment_file(t):
-    """Runs written in the segment format to the shared folder and read back, every checksum checked."""
-    rows = t("segment_records").where("sequence < 2")
-    spark = rows.sparkSession
-    import tempfile
-
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/{uuid.uuid4().hex}"
+    """All runs written in the segment format to the shared folder and read back, every checksum checked. The log has sizes and no values: these are made up."""
+    rows = t("segment_records")
+    folder = f"{shared_folder(rows.sparkSession)}/segments/{uuid.uuid4().hex}"
     value = F.when(~F.col("deleted"), F.repeat(F.lit("v"), (F.col("value_bytes") % 97).cast("int")).cast("binary"))
     write_segments(rows.select("keyspace_id", "sequence", F.col("key").cast("binary").alias("key"), "lamport", "expires_at_millis", "deleted", value.alias("value")), folder)
-    return read_segments(spark, folder).select("keyspace_id", F.col("key").cast("string").alias("key"), "lamport", "expires_at_millis", "deleted", F.col("value").cast("string").alias("value"))
+    return read_objects(rows.sparkSession, folder).select("keyspace_id", F.col("key").cast("string").alias("key"), "lamport", "expires_at_millis", "deleted", F.col("value").cast("string").alias("value"))
 
 
 @query(USES, ALL + ", l AS (SELECT keyspace_id, sum(40 + length(key) + value_bytes) AS live FROM won GROUP BY 1) SELECT s.keyspace_id, CAST(sum(bytes) AS BIGINT) AS total, CAST(any_value(live) AS BIGINT) AS live, sum(bytes)::DOUBLE / any_value(live)::DOUBLE AS amplification FROM segments s JOIN l USING (keyspace_id) GROUP BY 1")

@@ -37,6 +37,18 @@ def cas_outcomes(t):
     return W.cas(requests(t)).groupBy("keyspace_id", "op").agg(F.count_if("applied").alias("applied"), F.count_if(~F.col("applied")).alias("lost"), F.count_if(F.col("new_version") > 0).alias("written"))
 
 
+STORED = FOLD.replace("SELECT keyspace_id, key, n, lamport, op, CASE WHEN writes AND op = 'put' THEN lamport WHEN writes THEN 0 ELSE version END, CASE WHEN writes AND op = 'put' THEN expires WHEN writes THEN NULL ELSE held_until END, held, found, CASE WHEN writes THEN lamport ELSE 0 END",
+    # A version below zero is that of a tombstone.
+    "SELECT keyspace_id, key, n, lamport, op, CASE WHEN writes AND op = 'put' THEN lamport WHEN writes THEN -lamport ELSE version END, CASE WHEN writes AND op = 'put' THEN expires WHEN writes THEN now_millis + 86400000 ELSE held_until END, held, CASE WHEN held AND NOT writes THEN -version ELSE found END, CASE WHEN writes THEN lamport ELSE 0 END")
+STORED = STORED.replace("held AND (op = 'put' OR found > 0) AS writes", "held AND (op = 'put' OR version >= 0 OR now_millis >= held_until) AS writes").replace("CASE WHEN f.version = 0 OR", "CASE WHEN f.version <= 0 OR")
+
+
+@query(USES, STORED + " SELECT * FROM o")
+def storage_fold(t):
+    """The same requests by the storage layer's rules: a delete writes a tombstone for a day even where nothing is, and finds a standing one."""
+    return W.cas(requests(t), "storage")
+
+
 LOCK = "CASE WHEN op = 'delete' THEN 'none' ELSE 'if_not_present' END AS cond, CASE WHEN op = 'put' THEN now_millis + 7200000 END AS expires"
 LOCKS = FOLD.replace("m.lamport, m.op, m.cond, m.expected, m.now_millis, CASE WHEN m.op = 'put' THEN m.now_millis + coalesce(m.ttl_millis, k.default_ttl_millis) END AS expires", "m.lamport, m.op, m.expected, m.now_millis, " + LOCK.replace("op ", "m.op ").replace("now_millis", "m.now_millis"))
 

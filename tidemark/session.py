@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +15,16 @@ def session(name: str = "tidemark", master: str | None = None, partitions: int |
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir. Only a local
+    session, where all is one machine, may name none: it gets a temporary one as its checkpoint folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+        folder = context.getCheckpointDir()
+    return folder

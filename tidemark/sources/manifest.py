@@ -6,6 +6,7 @@ import base64
 import json
 import os
 import tempfile
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,11 @@ NUMBER = "decimal(20,0)"
 SEGMENT = f"name string, source_partition_id {NUMBER}, bytes {NUMBER}, record_count {NUMBER}, min_key string, max_key string, min_lamport {NUMBER}, max_lamport {NUMBER}"
 SCHEMA = f"format_version {NUMBER}, keyspace_id {NUMBER}, partition_id {NUMBER}, epoch {NUMBER}, committed_lamport {NUMBER}, range struct<start string, end string>, segments array<struct<{SEGMENT}>>"
 
+FIELDS = ("format_version", "keyspace_id", "partition_id", "epoch", "committed_lamport", "range", "segments")
+SEGMENT_FIELDS = tuple(f.split()[0] for f in SEGMENT.split(", "))
+#: Seconds after which the lock of a writer that died is taken away.
+LOCK_SECONDS = 60.0
+
 
 class Deposed(RuntimeError):
     """A newer owner has committed; what this writer wrote is for the sweep."""
@@ -27,8 +33,14 @@ class Conflict(RuntimeError):
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """A row a manifest under a path of any store; a file that is no such JSON fails the query."""
-    return spark.read.schema(SCHEMA).json(path, multiLine=True, mode="FAILFAST")
+    """A row a manifest under a path of any store; a file that is no such JSON, or has a field beyond the schema's, fails the query."""
+    files = spark.read.text(path, wholetext=True)
+    inside = lambda at: F.json_object_keys(F.get_json_object("value", at))
+    listed = F.flatten(F.transform(F.from_json(F.get_json_object("value", "$.segments"), "array<map<string,string>>"), lambda s: F.map_keys(s)))
+    beyond = lambda names, known: F.array_except(F.coalesce(names, F.array().cast("array<string>")), F.array(*map(F.lit, known)))
+    unknown = F.concat(beyond(F.json_object_keys("value"), FIELDS), beyond(inside("$.range"), ("start", "end")), beyond(listed, SEGMENT_FIELDS))
+    parsed = F.from_json("value", SCHEMA, {"mode": "FAILFAST"})
+    return files.select(F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown fields in a manifest: "), F.array_join(unknown, ", "))).cast("void")).otherwise(F.lit(None)).alias("refused"), parsed.alias("m")).where("refused IS NULL").select("m.*")
 
 
 def segments_of(manifests: DataFrame) -> DataFrame:
@@ -61,6 +73,7 @@ def commit(path: str, epoch: int, build: Callable[[dict | None], str], attempts:
         try:
             lock = os.open(path + ".lock", os.O_CREAT | os.O_EXCL)
         except FileExistsError:
+            _abandoned(path + ".lock")
             continue
         try:
             if _read(path) != seen:
@@ -78,6 +91,15 @@ def commit(path: str, epoch: int, build: Callable[[dict | None], str], attempts:
     raise Conflict(path)
 
 
+def _abandoned(lock: str) -> None:
+    """Take away a lock older than LOCK_SECONDS: its writer was killed. The swap itself checks what is there again."""
+    try:
+        if time.time() - os.stat(lock).st_mtime > LOCK_SECONDS:
+            os.unlink(lock)
+    except FileNotFoundError:
+        pass
+
+
 def _read(path: str) -> dict | None:
     try:
         with open(path) as f:

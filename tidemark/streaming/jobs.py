@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.admission import take_token
 from tidemark.operators.control import DEAD_MILLIS, SUSPECT_MILLIS
 from tidemark.operators.state import KEY, RECORD
 from tidemark.operators.writes import OUTCOME, Cell
@@ -27,8 +28,11 @@ def dedup(mutations: DataFrame, delay: str = "1 hour") -> DataFrame:
     return mutations.withWatermark("at", delay).dropDuplicatesWithinWatermark(["keyspace_id", "lamport"])
 
 
-def _none(v):
-    return None if v is None or v != v else int(v)
+def _sorted(batches: Iterator[pd.DataFrame], by: str, columns: list[str]) -> Iterator[tuple]:
+    """The rows of a batch in order, as Python's integers; those that may be null come as text, since pandas would round them."""
+    rows = pd.concat(list(batches)).sort_values(by)
+    for own in rows[columns].itertuples(index=False):
+        yield tuple(None if v is None or v != v else int(v) for v in own)
 
 
 def cas(requests: DataFrame) -> DataFrame:
@@ -40,40 +44,36 @@ def cas(requests: DataFrame) -> DataFrame:
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, version, deleted, expires = state.get if state.exists else (0, 0, False, None)
-        cell, out = Cell(version, deleted, _none(expires)), []
+        cell, out = Cell(version, deleted, expires), []
         rows = pd.concat(list(batches)).sort_values("lamport")
-        for r in rows.itertuples(index=False):
-            if r.lamport > last:
-                last = int(r.lamport)
-                out.append((*key, last, r.op, *cell.apply(last, r.op, r.cond, _none(r.expected), _none(r.expires_at_millis), int(r.now_millis))))
+        values = _sorted([rows], "lamport", ["lamport", "expected", "expires_at_millis", "now_millis"])
+        for (lamport, expected, until, now), op, cond in zip(values, rows["op"], rows["cond"]):
+            if lamport > last:
+                last = lamport
+                out.append((*key, last, op, *cell.apply(last, op, cond, expected, until, now)))
         state.update((last, cell.version, cell.deleted, cell.expires))
         yield pd.DataFrame(out, columns=[*KEY, "lamport", "op", "applied", "found_version", "new_version"])
 
-    return requests.groupBy(*KEY).applyInPandasWithState(fold, "keyspace_id long, key string, " + OUTCOME, "last long, version long, deleted boolean, expires long", "append", GroupStateTimeout.NoTimeout)
+    exact = requests.select(*KEY, "lamport", "op", "cond", F.col("expected").cast("string").alias("expected"), F.col("expires_at_millis").cast("string").alias("expires_at_millis"), "now_millis")
+    return exact.groupBy(*KEY).applyInPandasWithState(fold, "keyspace_id long, key string, " + OUTCOME, "last long, version long, deleted boolean, expires long", "append", GroupStateTimeout.NoTimeout)
 
 
 def rate_limit(requests: DataFrame) -> DataFrame:
     """(bucket, place, admitted) of (bucket, place, at_micros, rate) requests, one token bucket of state each."""
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last, rate = state.get if state.exists else (0, None, None)
+        bucket = state.get if state.exists else (0, None, None)
         out = []
-        for r in pd.concat(list(batches)).sort_values("place").itertuples(index=False):
-            now, own = int(r.at_micros), _none(r.rate)
-            if own is None:
-                out.append((*key, int(r.place), True))
-                continue
-            if last is None or rate != own:
-                tokens, last, rate = own * 1000, now, own
-            elif (refill := max(0, now - last) * own // 1000) > 0:
-                tokens, last = min(tokens + refill, own * 1000), now
-            takes = tokens >= 1000
-            tokens -= 1000 * takes
-            out.append((*key, int(r.place), takes))
-        state.update((tokens, last, rate))
+        for place, now, rate in _sorted(batches, "place", ["place", "at_micros", "rate"]):
+            admitted = True
+            if rate is not None:
+                bucket, (admitted,) = take_token(bucket, now, rate)
+            out.append((*key, place, admitted))
+        state.update(bucket)
         yield pd.DataFrame(out, columns=["bucket", "place", "admitted"])
 
-    return requests.groupBy("bucket").applyInPandasWithState(fold, "bucket string, place long, admitted boolean", "tokens long, last long, rate long", "append", GroupStateTimeout.NoTimeout)
+    exact = requests.select("bucket", "place", "at_micros", F.col("rate").cast("string").alias("rate"))
+    return exact.groupBy("bucket").applyInPandasWithState(fold, "bucket string, place long, admitted boolean", "tokens long, last long, rate long", "append", GroupStateTimeout.NoTimeout)
 
 
 def node_health(heartbeats: DataFrame) -> DataFrame:
