@@ -167,3 +167,19 @@ def test_pages_of_bytes_need_no_join(spark):
     plan = S.pages_by_bytes(rows, 60, 4, ["keyspace_id"], F.col("value_bytes"))
     assert "Join" not in plan._jdf.queryExecution().toString()
     assert sorted(r["page"] for r in plan.collect()) == sorted(i // 4 for i in range(30))
+
+
+def test_what_comes_before(spark):
+    from tidemark.operators import ordered as O
+
+    rng = random.Random(6)
+    rows = [(g, i, rng.choice([None, rng.randrange(50)])) for g in (1, 2, 3) for i in rng.sample(range(5000), 700 if g < 3 else 1)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "g long, at long, v long")
+    got = {(r["g"], r["at"]): (r["n"], r["top"], r["last"]) for r in O.before(frame, ["g"], ["at"], {"n": (O.COUNT, None), "top": (O.MAX, "v"), "last": (O.LAST, "v")}).collect()}
+    for g in (1, 2, 3):
+        seen = []
+        for _, at, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            assert got[g, at] == (len(seen), max((x for x in seen if x is not None), default=None), seen[-1] if seen else None)
+            seen.append(v)
+    assert O.before(frame.limit(0), ["g"], ["at"], {"n": (O.COUNT, None)}).collect() == []

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import expired, in_prefix, visible
 from tidemark.operators.folds import fold
+from tidemark.operators.ordered import COUNT, before
 
 KEY = ["keyspace_id", "key"]
 ENTRY_OVERHEAD = 64
@@ -71,8 +72,8 @@ def listing(state: DataFrame, prefix: str, now: Column | int) -> DataFrame:
 
 def pages(rows: DataFrame, limit: int, by: list[str]) -> DataFrame:
     """Page numbers by count over rows already visible."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("key"))
-    return rows.withColumn("page", ((place - 1) / limit).cast("long"))
+    placed = before(rows, by, ["key"], {"place_before": (COUNT, None)})
+    return placed.withColumn("page", F.floor(F.col("place_before") / limit).cast("long")).drop("place_before")
 
 
 def pages_by_bytes(rows: DataFrame, max_bytes: int, limit: int, by: list[str], size: Column) -> DataFrame:

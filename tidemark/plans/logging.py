@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered as O
 from tidemark.operators.folds import fold
 from tidemark.plans.registry import query
 
@@ -59,7 +60,8 @@ def wal_retention(t):
 @query("wal", "SELECT partition_id, min(lamport) AS from_lamport, max(lamport) AS to_lamport, count(*) AS entries FROM (SELECT partition_id, lamport, lamport - row_number() OVER (PARTITION BY partition_id ORDER BY lamport) AS island FROM wal WHERE lamport % 97 <> 0) GROUP BY partition_id, island")
 def lamport_gaps(t):
     """Contiguous stretches of a log with holes: gaps lie between them."""
-    rows = t("wal").where("lamport % 97 <> 0").withColumn("island", F.col("lamport") - F.row_number().over(by_partition("lamport")))
+    rows = t("wal").where("lamport % 97 <> 0").select("partition_id", "lamport")
+    rows = O.before(rows, ["partition_id"], ["lamport"], {"place": (O.COUNT, None)}).withColumn("island", F.col("lamport") - F.col("place"))
     return rows.groupBy("partition_id", "island").agg(F.min("lamport").alias("from_lamport"), F.max("lamport").alias("to_lamport"), F.count("*").alias("entries")).drop("island")
 
 
@@ -67,7 +69,8 @@ def lamport_gaps(t):
 def stale_epoch_entries(t):
     """Entries of an owner that was deposed before they arrived."""
     sent = F.when(F.col("position") % 150 == 149, F.col("epoch") - 1).otherwise(F.col("epoch"))
-    rows = t("wal").withColumn("epoch", sent).withColumn("top", F.max("epoch").over(by_partition("position")))
+    rows = t("wal").select("partition_id", "lamport", "position", sent.alias("epoch"))
+    rows = O.before(rows, ["partition_id"], ["position"], {"top": (O.MAX, "epoch")})
     return rows.where("epoch < top").select("partition_id", "lamport", "epoch", "top")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import in_prefix
+from tidemark.operators import ordered as O
 from tidemark.operators import state as S
 from tidemark.plans.registry import Tables, query
 
@@ -170,8 +171,8 @@ def lamport_regressions(t):
     """Writes that arrive with a lamport not above the one before (some are delayed here)."""
     late = F.col("lamport") % 101 == 0
     arrival = F.when(late, F.col("lamport") + 40).otherwise(F.col("lamport")) * 2 + F.when(late, 1).otherwise(0)
-    before = F.lag("lamport").over(Window.partitionBy("keyspace_id").orderBy(arrival))
-    return t("mutations").select("keyspace_id", "lamport", before.alias("before")).where("lamport <= before")
+    rows = t("mutations").select("keyspace_id", "lamport", arrival.alias("arrival"))
+    return O.before(rows, ["keyspace_id"], ["arrival"], {"before": (O.LAST, "lamport")}).where("lamport <= before").drop("arrival")
 
 
 @query("mutation_log keyspaces", "SELECT lamport, CASE WHEN m.lamport % 1000 = 0 THEN 9223372036854775807 ELSE now_millis + coalesce(ttl_millis, default_ttl_millis) END AS expires_at_millis FROM mutation_log m JOIN keyspaces USING (keyspace_id) WHERE op = 'put'")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tidemark", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -28,3 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
         folder = context.getCheckpointDir()
     return folder
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again, where several sides of a plan must see the same rows in the same parts."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
