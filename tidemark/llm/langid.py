@@ -200,11 +200,12 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = SAMPLE, rou
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     number = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # Twice the share that is wanted passes by its crc32; the cut comes after.
-    some = known.withColumn("order", order).join(number, "lang").where((F.col("order") * F.col("n") <= F.lit(2.0 * most * 2**32)) | (F.col("n") <= 2 * most))
+    # Twice the share that is wanted passes by its crc32; the cut comes after. A row a language is sent, a millionth of the model.
+    some = known.withColumn("order", order).join(F.broadcast(number), "lang").where((F.col("order") * F.col("n") <= F.lit(2.0 * most * 2**32)) | (F.col("n") <= 2 * most))
     some = saved(some.groupBy("lang", "doc_id", "order").agg(F.min("text").alias("text")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    sample = some.withColumn("place", place).where(F.col("place") <= most).select("lang", "text")
+    chosen = some.select("lang", "doc_id", "order").withColumn("place", place).where(F.col("place") <= most).drop("place")
+    sample = some.join(chosen, ["lang", "doc_id", "order"]).select("lang", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
