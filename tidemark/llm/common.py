@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import shared_folder
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,28 +19,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it. Only a local session, where
-    all is one machine, may name none: it gets a temporary one as its checkpoint folder."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
-        folder = context.getCheckpointDir()
-    return folder
+#: Paths of the tables that ``saved`` wrote, by application, in order.
+_written: dict[str, list[str]] = {}
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here and a lost
-    executor costs only the reading of files, never the work before them."""
+    executor costs only the reading of files, never the work before them.
+
+    The tables of an application lie in a folder of its own. They live until ``released``
+    or deleted with that folder, since results that are not computed yet may read them.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    own = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/tables/{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(own, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> int:
+    """How many tables ``saved`` has written for this application so far."""
+    return len(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def released(spark: SparkSession, since: int, until: int) -> None:
+    """Delete the tables from the ``since``-th to before the ``until``-th, once nothing reads them any more."""
+    own = _written.get(spark.sparkContext.applicationId, [])
+    for place in range(since, until):
+        if own[place]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(own[place])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            own[place] = ""
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as (node, label), label the smallest node.
 
