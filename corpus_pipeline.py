@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, mixing, quality, sharding, simhash
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import released, saved, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 # Decisions meet their documents by a merge join at every size: one exchange of the texts, which grows in
@@ -90,10 +90,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other over ``documents``, each written and read again.
+
+    When a stage is written, the tables it worked with, its predecessor's among them, are deleted.
+    """
+    docs, begun = table(spark, sf_dir, "documents"), written(spark)
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = saved(docs)
+            done = written(spark) - 1
+            released(spark, begun, done)
+            begun = done
     return docs
