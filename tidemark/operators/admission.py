@@ -39,7 +39,10 @@ def rate_share(limit: Column, nodes: Column) -> Column:
     return F.when(limit == 0, F.lit(0)).when(limit.isNotNull(), F.greatest(F.floor(limit / nodes), F.lit(1))).cast("long")
 
 
-def authorize(requests: DataFrame, credentials: DataFrame, root_hash: str, refreshed_at: int | None = None, stale_after: int | None = None, enabled: bool = True) -> DataFrame:
+def authorize(
+    requests: DataFrame, credentials: DataFrame, root_hash: str, refreshed_at: int | None = None,
+    stale_after: int | None = None, enabled: bool = True,
+) -> DataFrame:
     """``requests`` (request_id, header, keyspace_id, permission, now_millis) with a verdict.
 
     Off: all allowed. The root is always allowed. Credentials confirmed too long ago fail
@@ -51,7 +54,9 @@ def authorize(requests: DataFrame, credentials: DataFrame, root_hash: str, refre
     known = credentials.groupBy("secret_hash").agg(F.first(F.struct("keyspace_id", "permissions", "expires_at_millis")).alias("c"))
     rows = rows.join(known, "secret_hash", "left")
     stale = F.lit(False) if refreshed_at is None or stale_after is None else F.col("now_millis") - refreshed_at > stale_after
-    fits = (F.col("c.keyspace_id") == F.col("keyspace_id")) & F.array_contains(F.split("c.permissions", ","), F.col("permission")) & F.coalesce(F.col("c.expires_at_millis") > F.col("now_millis"), F.lit(True))
+    fits = (F.col("c.keyspace_id") == F.col("keyspace_id")) & F.array_contains(F.split("c.permissions", ","), F.col("permission")) & F.coalesce(
+        F.col("c.expires_at_millis") > F.col("now_millis"), F.lit(True),
+    )
     verdict = F.when(F.lit(not enabled), "allowed").when(F.col("secret_hash").isNull(), "unauthenticated").when(F.col("secret_hash") == root_hash, "allowed").when(stale, "unavailable").when(F.col("c").isNull(), "unauthenticated").when(fits, "allowed").otherwise("denied")
     return rows.withColumn("verdict", verdict).drop("c")
 
@@ -60,7 +65,10 @@ def format_bytes(n: Column) -> Column:
     """One decimal, halves to even (of the quotients only .25 and .75 are halves, and exact)."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", F.bround(n / float(1024**power), 1)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(
+            n >= 1024**power,
+            F.concat(F.format_string("%.1f", F.bround(n / float(1024**power), 1)), F.lit(f" {unit}")),
+        ).otherwise(out)
     return out
 
 

@@ -43,7 +43,9 @@ def held(partitions: DataFrame, replicas: DataFrame) -> DataFrame:
 def placement(nodes: DataFrame, partitions: DataFrame, replicas: DataFrame) -> DataFrame:
     """Eligible nodes by how little they hold, then by id. A control plane's nodes are few, so one ranking does."""
     counts = held(partitions, replicas)
-    rows = eligible(nodes).select("node_id").join(counts, "node_id", "left").select("node_id", F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("owned", F.lit(0)).alias("owned"))
+    rows = eligible(nodes).select("node_id").join(counts, "node_id", "left").select(
+        "node_id", F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("owned", F.lit(0)).alias("owned"),
+    )
     return rows.withColumn("rank", F.row_number().over(Window.orderBy("held", "node_id")).cast("long"))
 
 
@@ -55,7 +57,9 @@ def child_owner(partitions: DataFrame, prepared: DataFrame, nodes: DataFrame) ->
     owned = partitions.where("owner IS NOT NULL").groupBy(F.col("owner").alias("node_id")).agg(F.count("*").alias("owned"))
     able = prepared.select("partition_id", "node_id").join(eligible(nodes).select("node_id"), "node_id", "left_semi").join(owned, "node_id", "left")
     best = able.groupBy("partition_id").agg(F.min(F.struct(F.coalesce("owned", F.lit(0)).alias("owned"), "node_id"))["node_id"].alias("best"))
-    return partitions.select("partition_id", "owner").join(best, "partition_id", "left").select("partition_id", F.coalesce("best", "owner").alias("child_owner"))
+    return partitions.select("partition_id", "owner").join(best, "partition_id", "left").select(
+        "partition_id", F.coalesce("best", "owner").alias("child_owner"),
+    )
 
 
 def read_replica_want(target: Column, floor: Column, placeable: Column) -> Column:
@@ -77,11 +81,22 @@ def promotions(fenced: DataFrame, replicas: DataFrame, nodes: DataFrame, status:
     """(partition_id, candidate) of fenced partitions: every living replica must have reported past the fence, and the
     smallest eligible node with the highest durable position among them is chosen; else null."""
     known = nodes.select("node_id", (health(F.col("silent_millis")) == "dead").alias("dead"))
-    rows = fenced.select("partition_id", "fence_map_version").join(replicas.select("partition_id", "node_id"), "partition_id", "left").join(known, "node_id", "left").join(status.select("partition_id", "node_id", "map_version", "durable"), ["partition_id", "node_id"], "left")
+    rows = fenced.select("partition_id", "fence_map_version").join(
+        replicas.select("partition_id", "node_id"), "partition_id", "left",
+    ).join(known, "node_id", "left").join(
+        status.select("partition_id", "node_id", "map_version", "durable"), ["partition_id", "node_id"],
+        "left",
+    )
     rows = rows.join(eligible(nodes).select("node_id", F.lit(True).alias("may")), "node_id", "left")
-    settled = F.bool_and(F.col("node_id").isNull() | F.coalesce(F.col("dead"), F.lit(False)) | (F.col("dead").isNotNull() & F.coalesce(F.col("map_version") >= F.col("fence_map_version"), F.lit(False))))
+    settled = F.bool_and(
+        F.col("node_id").isNull() | F.coalesce(F.col("dead"), F.lit(False)) | (F.col("dead").isNotNull() & F.coalesce(
+            F.col("map_version") >= F.col("fence_map_version"), F.lit(False),
+        ))
+    )
     required = rows.groupBy("partition_id").agg(settled.alias("settled"), F.max(F.when(~F.col("dead"), F.col("durable"))).alias("required"))
-    choice = rows.join(required, "partition_id").groupBy("partition_id").agg(F.min(F.when(F.col("settled") & F.col("may") & (F.col("durable") == F.col("required")), F.col("node_id"))).alias("candidate"))
+    choice = rows.join(required, "partition_id").groupBy("partition_id").agg(
+        F.min(F.when(F.col("settled") & F.col("may") & (F.col("durable") == F.col("required")), F.col("node_id"))).alias("candidate")
+    )
     return choice
 
 
@@ -92,7 +107,9 @@ def repair(partitions: DataFrame, replicas: DataFrame, nodes: DataFrame, want: i
     """
     living = nodes.where(health(F.col("silent_millis")) != "dead").select("node_id", F.lit(True).alias("alive"))
     rows = replicas.join(living, "node_id", "left").groupBy("partition_id").agg(F.array_sort(F.collect_list(F.struct("position", "node_id", "alive"))).alias("r"))
-    ranked = placement(nodes, partitions, replicas).where(F.col("rank") <= want + REPLICATION + 1).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("ranked"))
+    ranked = placement(nodes, partitions, replicas).where(F.col("rank") <= want + REPLICATION + 1).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "node_id"))), lambda x: x["node_id"]).alias("ranked")
+    )
     lists = partitions.where("phase = 'serving' AND owner IS NOT NULL").select("partition_id", "owner").join(rows, "partition_id", "left").crossJoin(F.broadcast(ranked))  # one row
     empty = F.array().cast("array<bigint>")
     before = F.coalesce(F.transform("r", lambda x: x["node_id"]), empty)

@@ -11,7 +11,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
-def fold(rows: DataFrame, by: list[str], order: list[str], reads: list[str], adds: str, start: Callable[[], Any], step: Callable[..., tuple[Any, tuple]]) -> DataFrame:
+def fold(
+    rows: DataFrame, by: list[str], order: list[str], reads: list[str], adds: str, start: Callable[[], Any],
+    step: Callable[..., tuple[Any, tuple]],
+) -> DataFrame:
     """``rows`` with the columns ``adds`` (a schema string), which ``step`` makes row by row.
 
     Rows are dealt out by ``by`` and sorted by ``order`` within; each group begins with

@@ -100,7 +100,11 @@ def _blocks(ranges: DataFrame, block: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def locate(rows: DataFrame, ranges: DataFrame, answers: Callable[[], Any], adds: str, combine: Callable[[tuple | None, Any], tuple], none: tuple, group: str = "keyspace_id", key: str = "key", block: int = BLOCK) -> DataFrame:
+def locate(
+    rows: DataFrame, ranges: DataFrame, answers: Callable[[], Any], adds: str,
+    combine: Callable[[tuple | None, Any], tuple], none: tuple, group: str = "keyspace_id", key: str = "key",
+    block: int = BLOCK,
+) -> DataFrame:
     """``rows`` with the columns ``adds``: what the ranges (group, low, high, ...) that hold each row's key say.
 
     ``combine(values so far, answer)`` adds a block of ranges to the values of ``adds``,
@@ -129,8 +133,13 @@ def _pass(shared, group: str, key: str, width: int, kinds: list, names: list[str
                 out = list(found)
             else:
                 at = shared.value.at
-                out = [combine(before, at(g, k)) for before, g, k in zip(found, batch.column(group).to_pylist(), batch.column(key).to_pylist())]
+                out = [combine(before, at(g, k)) for before, g, k in zip(
+                    found, batch.column(group).to_pylist(), batch.column(key).to_pylist(),
+                )]
             columns = zip(*out) if out else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*batch.schema.names[:width], *names])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:width], *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                names=[*batch.schema.names[:width], *names],
+            )
 
     return run

@@ -23,7 +23,11 @@ def flush(memory: DataFrame, path: str, partitions: int | None = None) -> None:
 
 def segment_stats(records: DataFrame, by: list[str]) -> DataFrame:
     size = F.lit(40) + F.octet_length("key") + F.col("value_bytes")
-    return records.groupBy(*by).agg((F.lit(96) + F.sum(size)).cast("long").alias("bytes"), F.count("*").alias("record_count"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("lamport").alias("min_lamport"), F.max("lamport").alias("max_lamport"))
+    return records.groupBy(*by).agg(
+        (F.lit(96) + F.sum(size)).cast("long").alias("bytes"), F.count("*").alias("record_count"),
+        F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("lamport").alias("min_lamport"),
+        F.max("lamport").alias("max_lamport"),
+    )
 
 
 def winners(records: DataFrame) -> DataFrame:
@@ -95,11 +99,25 @@ def adopt(offered: DataFrame, held: DataFrame, memory: DataFrame) -> DataFrame:
     An epoch only rises: an older manifest changes nothing. One that is adopted replaces the
     flushed state, and the memtable (keyspace_id, lamport) keeps what is above its horizon.
     """
-    rows = held.join(offered.select("keyspace_id", F.col("epoch").alias("new_epoch"), F.col("committed").alias("new_committed")), "keyspace_id", "left")
+    rows = held.join(
+        offered.select("keyspace_id", F.col("epoch").alias("new_epoch"), F.col("committed").alias("new_committed")),
+        "keyspace_id", "left",
+    )
     rows = rows.withColumn("adopted", F.coalesce(F.col("new_epoch") >= F.col("epoch"), F.lit(False)))
-    rows = rows.select("keyspace_id", "adopted", F.when(F.col("adopted"), F.col("new_epoch")).otherwise(F.col("epoch")).alias("epoch"), F.when(F.col("adopted"), F.col("new_committed")).otherwise(F.col("committed")).alias("committed"))
-    counts = memory.join(rows.select("keyspace_id", "committed", "adopted"), "keyspace_id").groupBy("keyspace_id").agg(F.count_if(F.col("adopted") & (F.col("lamport") <= F.col("committed"))).alias("reclaimed"), F.count("*").alias("all"))
-    return rows.join(counts, "keyspace_id", "left").select("keyspace_id", "adopted", "epoch", "committed", (F.coalesce("all", F.lit(0)) - F.coalesce("reclaimed", F.lit(0))).alias("kept"), F.coalesce("reclaimed", F.lit(0)).alias("reclaimed"))
+    rows = rows.select(
+        "keyspace_id", "adopted",
+        F.when(F.col("adopted"), F.col("new_epoch")).otherwise(F.col("epoch")).alias("epoch"),
+        F.when(F.col("adopted"), F.col("new_committed")).otherwise(F.col("committed")).alias("committed"),
+    )
+    counts = memory.join(rows.select("keyspace_id", "committed", "adopted"), "keyspace_id").groupBy("keyspace_id").agg(
+        F.count_if(F.col("adopted") & (F.col("lamport") <= F.col("committed"))).alias("reclaimed"),
+        F.count("*").alias("all"),
+    )
+    return rows.join(counts, "keyspace_id", "left").select(
+        "keyspace_id", "adopted", "epoch", "committed",
+        (F.coalesce("all", F.lit(0)) - F.coalesce("reclaimed", F.lit(0))).alias("kept"),
+        F.coalesce("reclaimed", F.lit(0)).alias("reclaimed"),
+    )
 
 
 def external_values(records: DataFrame, objects: DataFrame) -> DataFrame:
@@ -120,14 +138,22 @@ def candidates(records: DataFrame, segments: DataFrame, input_bytes: int = INPUT
     order = Window.partitionBy("keyspace_id").orderBy("sequence")
     rows = segments.join(won, ["keyspace_id", "sequence"], "left").withColumn("winners", F.coalesce("winners", F.lit(0)))
     rows = rows.where((F.col("winners") < F.col("record_count")) | F.col("source").isNotNull())
-    return rows.withColumn("place", F.row_number().over(order)).withColumn("input", F.sum("bytes").over(order)).where((F.col("place") == 1) | (F.col("input") <= input_bytes)).select("keyspace_id", "sequence", "winners", "record_count", "input")
+    return rows.withColumn("place", F.row_number().over(order)).withColumn("input", F.sum("bytes").over(order)).where((F.col("place") == 1) | (F.col("input") <= input_bytes)).select(
+        "keyspace_id", "sequence", "winners", "record_count", "input",
+    )
 
 
 def parsed_name(name: Column) -> Column:
     """(kind, epoch, sequence) of an object's name; null for what the format does not produce."""
     part = lambda i: F.nullif(F.regexp_extract(name, NAME, i), F.lit(""))
     number = lambda a, b: F.conv(F.coalesce(part(a), part(b)), 16, 10).cast("decimal(20,0)")
-    return F.when(name.rlike(NAME), F.struct(F.when(name.startswith("segments/"), "segment").otherwise("value").alias("kind"), number(2, 4).alias("epoch"), number(3, 5).alias("sequence")))
+    return F.when(
+        name.rlike(NAME),
+        F.struct(
+            F.when(name.startswith("segments/"), "segment").otherwise("value").alias("kind"),
+            number(2, 4).alias("epoch"), number(3, 5).alias("sequence"),
+        ),
+    )
 
 
 def orphans(objects: DataFrame, referenced: DataFrame) -> DataFrame:
@@ -135,8 +161,14 @@ def orphans(objects: DataFrame, referenced: DataFrame) -> DataFrame:
     return objects.where(F.col("name").rlike(NAME)).join(referenced.select("keyspace_id", "name"), ["keyspace_id", "name"], "left_anti")
 
 
-def sweep(objects: DataFrame, referenced: DataFrame, manifests: DataFrame, now: int, grace: int = GRACE_MILLIS, skew: int = SKEW_MILLIS) -> DataFrame:
+def sweep(
+    objects: DataFrame, referenced: DataFrame, manifests: DataFrame, now: int, grace: int = GRACE_MILLIS,
+    skew: int = SKEW_MILLIS,
+) -> DataFrame:
     """What a sweep does with each orphan: it goes only if its manifest and it are both older than grace and skew; an unknown time is never old."""
     old = lambda c: F.coalesce(F.greatest(F.lit(now) - F.col(c), F.lit(0)) > grace + skew, F.lit(False))
     settled = manifests.select("keyspace_id", old("modified_millis").alias("settled"))
-    return orphans(objects, referenced).join(settled, "keyspace_id").select("keyspace_id", "name", F.when(F.col("settled") & old("modified_millis"), "delete").otherwise("retain").alias("verdict"))
+    return orphans(objects, referenced).join(settled, "keyspace_id").select(
+        "keyspace_id", "name",
+        F.when(F.col("settled") & old("modified_millis"), "delete").otherwise("retain").alias("verdict"),
+    )

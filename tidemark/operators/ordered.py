@@ -30,9 +30,15 @@ def before(rows: DataFrame, by: list[str], order: list[str], adds: dict[str, tup
 
     whole = {COUNT: lambda c: F.count("*"), MAX: F.max, LAST: lambda c: F.max_by(c, F.struct(*order))}
     totals = ranged.groupBy("part_", *by).agg(*[whole[kind](c).alias(f"{name}_all") for name, (kind, c) in adds.items()])
-    ahead = {COUNT: lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)), MAX: lambda c: F.max(c).over(earlier), LAST: lambda c: F.last(c).over(earlier)}
+    ahead = {
+        COUNT: lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)), MAX: lambda c: F.max(c).over(earlier),
+        LAST: lambda c: F.last(c).over(earlier),
+    }
     totals = totals.select("part_", *by, *[ahead[kind](f"{name}_all").alias(f"{name}_ahead") for name, (kind, _) in adds.items()])
-    within = ranged.select("*", F.count("*").over(inside).alias("place_"), *[of(kind, c, inside).alias(f"{name}_here") for name, (kind, c) in adds.items()])
+    within = ranged.select(
+        "*", F.count("*").over(inside).alias("place_"),
+        *[of(kind, c, inside).alias(f"{name}_here") for name, (kind, c) in adds.items()],
+    )
     join = {
         COUNT: lambda here, far: here + far,
         MAX: lambda here, far: F.greatest(here, far),

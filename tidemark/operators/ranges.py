@@ -36,7 +36,9 @@ def coverage_errors(partitions: DataFrame) -> DataFrame:
 def split(partitions: DataFrame, at: Column) -> DataFrame:
     """The two children of each range whose split key lies strictly inside; others are left out."""
     inside = partitions.withColumn("at", at).where((F.col("at") > F.col("start_key")) & (F.col("end_key").isNull() | (F.col("at") < F.col("end_key"))))
-    child = lambda side, start, end: F.struct(F.lit(side).alias("side"), F.col(start).alias("child_start"), F.col(end).alias("child_end"))
+    child = lambda side, start, end: F.struct(
+        F.lit(side).alias("side"), F.col(start).alias("child_start"), F.col(end).alias("child_end"),
+    )
     children = F.array(child("lower", "start_key", "at"), child("upper", "at", "end_key"))
     return inside.select("keyspace_id", "partition_id", F.inline(children))
 
@@ -54,6 +56,10 @@ def caught_up(candidates: DataFrame, status: DataFrame, eligible: DataFrame, own
     A candidate must be eligible and have reported a durable position at or above what the
     owner has committed (else made durable, else 0). No report is no evidence.
     """
-    required = owners.join(status, ["partition_id", "node_id"], "left").select("partition_id", F.coalesce("committed", "durable", F.lit(0)).alias("required"))
-    known = candidates.join(status.select("partition_id", "node_id", "durable"), ["partition_id", "node_id"]).join(required, "partition_id", "left")
+    required = owners.join(status, ["partition_id", "node_id"], "left").select(
+        "partition_id", F.coalesce("committed", "durable", F.lit(0)).alias("required"),
+    )
+    known = candidates.join(
+        status.select("partition_id", "node_id", "durable"), ["partition_id", "node_id"],
+    ).join(required, "partition_id", "left")
     return known.where(F.col("durable") >= F.coalesce("required", F.lit(0))).join(eligible.select("node_id"), "node_id", "left_semi")

@@ -23,7 +23,9 @@ def replay(log: DataFrame, by: list[str] = KEY) -> DataFrame:
 
 def replay_above(base: DataFrame, log: DataFrame, horizon: Column | int) -> DataFrame:
     """State resumed from a base: only mutations above the horizon count, replayed ones change nothing."""
-    return replay(base.withColumnRenamed("version", "lamport").select(*KEY, "lamport", *RECORD).unionByName(log.where(F.col("lamport") > horizon).select(*KEY, "lamport", *RECORD)))
+    return replay(
+        base.withColumnRenamed("version", "lamport").select(*KEY, "lamport", *RECORD).unionByName(log.where(F.col("lamport") > horizon).select(*KEY, "lamport", *RECORD))
+    )
 
 
 def clock(log: DataFrame) -> Column:
@@ -56,7 +58,9 @@ def footprint(key: Column, value_bytes: Column) -> Column:
 def multi_get(keys: DataFrame, state: DataFrame, now: Column | int) -> DataFrame:
     """One row a wanted key: found or not, never an error."""
     rows = live(state, now).withColumn("found", F.lit(True))
-    return keys.join(rows, KEY, "left").select(*KEY, F.coalesce("found", F.lit(False)).alias("found"), "version", "value_bytes", "expires_at_millis")
+    return keys.join(rows, KEY, "left").select(
+        *KEY, F.coalesce("found", F.lit(False)).alias("found"), "version", "value_bytes", "expires_at_millis",
+    )
 
 
 def overlay(state: DataFrame, pending: DataFrame, now: Column | int) -> DataFrame:

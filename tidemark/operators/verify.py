@@ -87,7 +87,10 @@ def linearizable(history: DataFrame, budget: int = BUDGET) -> DataFrame:
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
         none = lambda v: None if v is None or v != v else int(v)
-        rows = [(int(r.op_id), r.kind, none(r.value) if r.kind == "write" else None, none(r.value) if r.kind == "read" else None, int(r.invoked), none(r.returned)) for r in group.itertuples()]
+        rows = [(
+            int(r.op_id), r.kind, none(r.value) if r.kind == "write" else None,
+            none(r.value) if r.kind == "read" else None, int(r.invoked), none(r.returned),
+        ) for r in group.itertuples()]
         # A read without an answer says nothing, and an unanswered write that no read saw may as well never have happened.
         read = {o[3] for o in rows if o[1] == "read" and o[5] is not None}
         total, rows = len(rows), sorted((o for o in rows if o[5] is not None or (o[1] == "write" and o[2] in read)), key=lambda o: o[4])
@@ -112,8 +115,14 @@ def stale_reads(reads: DataFrame, writes: DataFrame) -> DataFrame:
 
     One pass a key in order of time: the highest version acknowledged so far runs along, so no pair is ever formed.
     """
-    marks = writes.where("returned IS NOT NULL").select("key", F.col("returned").alias("at"), "version", F.lit(None).cast("long").alias("op_id"), F.lit(None).cast("long").alias("seen"))
-    asks = reads.select("key", F.col("invoked").alias("at"), F.lit(None).cast("long").alias("version"), "op_id", F.col("version").alias("seen"))
+    marks = writes.where("returned IS NOT NULL").select(
+        "key", F.col("returned").alias("at"), "version", F.lit(None).cast("long").alias("op_id"),
+        F.lit(None).cast("long").alias("seen"),
+    )
+    asks = reads.select(
+        "key", F.col("invoked").alias("at"), F.lit(None).cast("long").alias("version"), "op_id",
+        F.col("version").alias("seen"),
+    )
     before = Window.partitionBy("key").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     rows = marks.union(asks).withColumn("acknowledged", F.max("version").over(before))
     return rows.where("op_id IS NOT NULL AND seen < acknowledged").select("key", "op_id", "seen", "acknowledged")

@@ -53,5 +53,8 @@ def cas(requests: DataFrame, layer: str = "server") -> DataFrame:
         return cell, cell.apply(*request)
 
     reads = ["lamport", "op", "cond", "expected", "expires_at_millis", "now_millis"]
-    folded = fold(requests.select(*KEY, *reads), KEY, ["lamport"], reads, "applied boolean, found_version long, new_version long", lambda: Cell(layer=layer), step)
+    folded = fold(
+        requests.select(*KEY, *reads), KEY, ["lamport"], reads,
+        "applied boolean, found_version long, new_version long", lambda: Cell(layer=layer), step,
+    )
     return folded.select(*KEY, "lamport", "op", "applied", "found_version", "new_version")

@@ -3,4 +3,7 @@
 from tidemark.plans import admitting, controlling, lifecycle, logging, ranging, reading, storage, verifying, writing
 from tidemark.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "admitting", "controlling", "lifecycle", "logging", "ranging", "reading", "storage", "verifying", "writing"]
+__all__ = [
+    "ORACLES", "QUERIES", "admitting", "controlling", "lifecycle", "logging", "ranging", "reading", "storage",
+    "verifying", "writing",
+]

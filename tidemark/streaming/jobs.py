@@ -54,8 +54,14 @@ def cas(requests: DataFrame) -> DataFrame:
         state.update((last, cell.version, cell.deleted, cell.expires))
         yield pd.DataFrame(out, columns=[*KEY, "lamport", "op", "applied", "found_version", "new_version"])
 
-    exact = requests.select(*KEY, "lamport", "op", "cond", F.col("expected").cast("string").alias("expected"), F.col("expires_at_millis").cast("string").alias("expires_at_millis"), "now_millis")
-    return exact.groupBy(*KEY).applyInPandasWithState(fold, "keyspace_id long, key string, " + OUTCOME, "last long, version long, deleted boolean, expires long", "append", GroupStateTimeout.NoTimeout)
+    exact = requests.select(
+        *KEY, "lamport", "op", "cond", F.col("expected").cast("string").alias("expected"),
+        F.col("expires_at_millis").cast("string").alias("expires_at_millis"), "now_millis",
+    )
+    return exact.groupBy(*KEY).applyInPandasWithState(
+        fold, "keyspace_id long, key string, " + OUTCOME,
+        "last long, version long, deleted boolean, expires long", "append", GroupStateTimeout.NoTimeout,
+    )
 
 
 def rate_limit(requests: DataFrame) -> DataFrame:
@@ -73,11 +79,17 @@ def rate_limit(requests: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["bucket", "place", "admitted"])
 
     exact = requests.select("bucket", "place", "at_micros", F.col("rate").cast("string").alias("rate"))
-    return exact.groupBy("bucket").applyInPandasWithState(fold, "bucket string, place long, admitted boolean", "tokens long, last long, rate long", "append", GroupStateTimeout.NoTimeout)
+    return exact.groupBy("bucket").applyInPandasWithState(
+        fold, "bucket string, place long, admitted boolean", "tokens long, last long, rate long", "append",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def node_health(heartbeats: DataFrame) -> DataFrame:
     """(node_id, heard_at, health) in update mode; the clock is data too, the latest ``now_millis`` that a row of the node brings."""
     heard = heartbeats.groupBy("node_id").agg(F.max("heard_millis").alias("heard_at"), F.max("now_millis").alias("now"))
     silent = F.col("now") - F.col("heard_at")
-    return heard.select("node_id", "heard_at", F.when(silent >= DEAD_MILLIS, "dead").when(silent >= SUSPECT_MILLIS, "suspect").otherwise("healthy").alias("health"))
+    return heard.select(
+        "node_id", "heard_at",
+        F.when(silent >= DEAD_MILLIS, "dead").when(silent >= SUSPECT_MILLIS, "suspect").otherwise("healthy").alias("health"),
+    )
