@@ -47,3 +47,22 @@ def test_partial_passages_blocks_and_odd_rows(spark):
     kept = decontam.without_leaks(frame, bench)
     assert kept.columns == frame.columns and sorted((tuple(r)[:2] for r in kept.collect()), key=repr) == sorted((d for d in docs if d[0] not in bad), key=repr)
     assert decontam.leaks(frame, bench.limit(0)).collect() == [] == decontam.leaks(frame.limit(0), bench).collect()
+
+
+def test_one_common_shingle_makes_no_candidates():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    common = "this line stands in every item"
+    items = [(f"i{k}", common + " " + " ".join(rng.choices([f"w{i}" for i in range(500)], k=60))) for k in range(200)]
+    found = decontam.Items(items, 0.8, 5)
+    assert {w for w in found.tables} == {5} and sum(len(t) for t in found.tables.values()) == len({len(s).bit_length() for s in found.shingles})
+    texts = pa.array([" ".join([common] * 50), items[3][1], items[3][1][:-60], None])
+    assert len(found.candidates(texts)) <= 3
+    assert {(place, found.ids[k]) for place, k, _ in found.found(texts)} == {(1, "i3"), (2, "i3")}
+
+
+def test_identifiers_of_any_type(spark):
+    docs = spark.createDataFrame([("d", "one two three four five six seven"), (None, "x")], "doc_id string, text string")
+    bench = spark.createDataFrame([("item", "two three four five six")], "item_id string, text string")
+    assert [tuple(r)[:2] for r in decontam.leaks(docs, bench).collect()] == [("d", "item")]

@@ -43,3 +43,20 @@ def test_a_copied_text_fills_shards_evenly(spark):
     docs = spark.createDataFrame([(i, "same text") for i in range(4800)], "doc_id long, text string")
     sizes = [r["count"] for r in sharding.histogram_shards(docs).groupBy("shard").count().collect()]
     assert len(sizes) == 24 and max(sizes) - min(sizes) <= 2
+
+
+def test_nameless_copies_are_cut_and_heavy_ranges_go_deeper(spark):
+    docs = spark.createDataFrame([(None, "same text") for _ in range(2400)] + [(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    rows = sharding.histogram_shards(docs, piece_rows=20).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r["shard"], []).append(r)
+    assert len(rows) == 2700 and len(per) == 24
+    for own in per.values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        by_slot = [r["key"] for r in sorted(own, key=lambda r: r["slot"])]
+        assert by_slot == sorted(by_slot)
+    total = sum(r["size"] for r in rows)
+    assert all(abs(sum(r["size"] for r in own) - total / 24) <= 40 for own in per.values())
+    one = {(r["doc_id"], r["text_crc32"], r["key"]): (r["shard"], r["slot"]) for r in sharding.histogram_shards(docs.where("doc_id IS NOT NULL"), piece_rows=7).collect()}
+    assert one == {(r["doc_id"], r["text_crc32"], r["key"]): (r["shard"], r["slot"]) for r in sharding.histogram_shards(docs.where("doc_id IS NOT NULL"), piece_rows=1000).collect()}

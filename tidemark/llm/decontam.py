@@ -129,7 +129,10 @@ def blocks(benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDT
         yield Items(rows, threshold, width)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, block: int = BLOCK_SHINGLES) -> DataFrame:
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH,
+    block: int = BLOCK_SHINGLES,
+) -> DataFrame:
     """(doc_id, item_id, shared, shingles, containment) of every item contained in a document.
 
     Words are lower-cased runs of letters and digits, shingles have ``width`` of them; an
@@ -153,7 +156,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
                 places = pa.array([h[0] for h in hits], pa.int64())
                 sizes = [len(items.shingles[k]) for _, k, _ in hits]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(places), pa.array([items.ids[k] for _, k, _ in hits], item_type), pa.array([h[2] for h in hits], pa.int64()), pa.array(sizes, pa.int64()), pa.array([h[2] / n for h, n in zip(hits, sizes)], pa.float64())],
+                    [
+                        batch.column("doc_id").take(places),
+                        pa.array([items.ids[k] for _, k, _ in hits], item_type),
+                        pa.array([h[2] for h in hits], pa.int64()), pa.array(sizes, pa.int64()),
+                        pa.array([h[2] / n for h, n in zip(hits, sizes)], pa.float64()),
+                    ],
                     names=["doc_id", "item_id", "shared", "shingles", "containment"],
                 )
 
@@ -164,7 +172,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, w
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, block: int = BLOCK_SHINGLES) -> DataFrame:
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH,
+    block: int = BLOCK_SHINGLES,
+) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item (see ``leaks``).
 
     Null and empty texts stay; repeated rows stay or go together; null doc_ids stay like

@@ -50,7 +50,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     ``id`` is a 64-bit hash of the line, the same wherever the line stands; of 10**9
     distinct lines two share one with a chance of 3 in 100 and would be taken for alike.
     """
-    rows = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "raw")).where(F.btrim("raw", F.lit(_BLANK)) != "")
+    rows = docs.select(
+        "doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "raw"),
+    ).where(F.btrim("raw", F.lit(_BLANK)) != "")
     return rows.select("doc_id", "line_no", F.trim("raw").alias("line")).withColumn("id", F.xxhash64("line"))
 
 
@@ -175,7 +177,10 @@ def members_of(lines: DataFrame, groups: int) -> DataFrame:
         group, rows = group[order], rows[order]
         start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
         ends = np.append(start[1:], len(group))
-        return pa.RecordBatch.from_arrays([pa.array(group[start], pa.int64()), pa.array([rows[i:j].tobytes() for i, j in zip(start, ends)], pa.binary())], names=["g", "packed"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(group[start], pa.int64()), pa.array([rows[i:j].tobytes() for i, j in zip(start, ends)], pa.binary())],
+            names=["g", "packed"],
+        )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +207,12 @@ def members_of(lines: DataFrame, groups: int) -> DataFrame:
             around = centre != rows["id"]
             found = np.zeros(int(around.sum()), _STAR)
             found["key"], found["id"], found["centre"] = rows["key"][around], rows["id"][around], centre[around]
-        return pa.table({"key": np.ascontiguousarray(found["key"]).view(np.int64), "id": np.ascontiguousarray(found["id"]), "centre": np.ascontiguousarray(found["centre"])})
+        return pa.table(
+            {
+                "key": np.ascontiguousarray(found["key"]).view(np.int64),
+                "id": np.ascontiguousarray(found["id"]), "centre": np.ascontiguousarray(found["centre"]),
+            }
+        )
 
     return lines.select("id", "line").mapInArrow(sign, "g long, packed binary").groupBy("g").applyInArrow(gather, "key long, id long, centre long")
 
@@ -214,7 +224,10 @@ def with_sketches(lines: DataFrame) -> DataFrame:
         for batch in batches:
             least, filled = minima(batch.column("line"))
             own = [pa.array(s.view(np.int64)) for s in np.ascontiguousarray(_sketches(least).T)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("line"), pa.array(filled.astype(np.int32)), *own], names=["id", "line", "filled", *_SKETCHES])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("line"), pa.array(filled.astype(np.int32)), *own],
+                names=["id", "line", "filled", *_SKETCHES],
+            )
 
     return lines.select("id", "line").mapInArrow(sketch, "id long, line string, filled int, " + ", ".join(f"{c} long" for c in _SKETCHES))
 
@@ -323,7 +336,10 @@ def labelled(stars: DataFrame, lines: DataFrame, least: float, rounds: int = ROU
     return labels.select("id", "label")
 
 
-def line_groups(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS, exact: bool = True, gathered: int = GATHERED) -> DataFrame:
+def line_groups(
+    docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS, exact: bool = True,
+    gathered: int = GATHERED,
+) -> DataFrame:
     """(doc_id, line_no, group_doc_id, group_line_no, kept) of every line that is not blank.
 
     Lines alike after trimming and lower-casing are one. Of these, lines whose shingle sets
@@ -351,7 +367,10 @@ def line_groups(docs: DataFrame, least: float = SIMILARITY, rounds: int = ROUNDS
     heads = saved(firsts.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("head")))
     of_group = firsts.where("label IS NOT NULL").select("id", "label").join(heads, "label").select("id", "head")
     head = saved(firsts.where("label IS NULL").select("id", F.col("first").alias("head")).union(of_group))
-    return seen.join(head, "id").select("doc_id", "line_no", F.col("head.doc_id").alias("group_doc_id"), F.col("head.line_no").alias("group_line_no"), (F.col("uid") == F.col("head.uid")).alias("kept"))
+    return seen.join(head, "id").select(
+        "doc_id", "line_no", F.col("head.doc_id").alias("group_doc_id"),
+        F.col("head.line_no").alias("group_line_no"), (F.col("uid") == F.col("head.uid")).alias("kept"),
+    )
 
 
 def without_repeats(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -89,7 +89,9 @@ def by_length(parts: list[str], most: int = 1 << 18) -> Iterator[tuple[np.ndarra
         own = order[np.searchsorted(length[order], n) : np.searchsorted(length[order], n, "right")]
         for at in range(0, len(own), max(1, most // n)):
             some = own[at : at + max(1, most // n)]
-            yield some, np.frombuffer("".join(parts[i] for i in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), n).astype(np.uint64)
+            yield some, np.frombuffer(
+                "".join(parts[i] for i in some).encode("utf-32-le", "surrogatepass"), np.uint32,
+            ).reshape(len(some), n).astype(np.uint64)
 
 
 @dataclass
@@ -168,7 +170,9 @@ def fit(lattice: Lattice, languages: list[str], parts: list[str], counts: np.nda
         for places, codes in by_length(parts, 1 << 16):
             rows, length = codes.shape
             runs = list(lattice.runs(codes))
-            probability = lambda start, end, piece: np.where(model.chance[piece] > 0, model.chance[piece], model.alone if end - start == 1 else 0)  # noqa: E731, B023
+            probability = lambda start, end, piece: np.where(
+                model.chance[piece] > 0, model.chance[piece], model.alone if end - start == 1 else 0,
+            )  # noqa: E731, B023
             ahead = np.zeros((length + 1, rows, len(languages)), np.longdouble)
             behind = np.zeros_like(ahead)
             ahead[0], behind[length] = 1, 1
@@ -197,7 +201,9 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = SAMPLE, rou
     The sample is a bound on training alone: of each language the documents with the
     smallest crc32 of doc_id, a repeated doc_id once. No such document: no model.
     """
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    known = docs.where(
+        F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
+    ).select("doc_id", "lang", "text")
     order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     number = known.groupBy("lang").agg(F.count("*").alias("n"))
     # Twice the share that is wanted passes by its crc32; the cut comes after. A row a language is sent, a millionth of the model.
@@ -220,7 +226,10 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = SAMPLE, rou
     table = table.sort_values(["lang", "part"])
     languages, parts = sorted(set(table["lang"])), sorted(set(table["part"]))
     counts = np.zeros((len(parts), len(languages)))
-    counts[np.searchsorted(np.array(parts, object), table["part"]), np.searchsorted(np.array(languages, object), table["lang"])] = table["n"]
+    counts[
+        np.searchsorted(np.array(parts, object), table["part"]),
+        np.searchsorted(np.array(languages, object), table["lang"]),
+    ] = table["n"]
     return fit(Lattice.of(pieces_of(vocabulary)), languages, parts, counts, rounds)
 
 
@@ -287,4 +296,6 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     guess = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")) if model is None else predict("text")
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), guess.alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    return rows.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), guess.alias("p"),
+    ).select("doc_id", "held_out", "p.lang_pred", "p.score")

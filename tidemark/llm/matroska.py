@@ -27,7 +27,10 @@ NANOS = FRAME * 1_000_000_000 // HERTZ
 LACED, PER_CLUSTER = 8, 64
 ROWS = 1 << 16  # packets of a batch
 SLICE = 2 << 20  # bytes of texts or files that a worker turns over at once
-_INTEGERS = {TIMESTAMP_SCALE, NUMBER, UID, TYPE, DEFAULT_DURATION, CHANNELS, BITS, CLUSTER_TIME, CUE_TIME, CUE_TRACK, CUE_CLUSTER, REFERENCE}
+_INTEGERS = {
+    TIMESTAMP_SCALE, NUMBER, UID, TYPE, DEFAULT_DURATION, CHANNELS, BITS, CLUSTER_TIME, CUE_TIME, CUE_TRACK,
+    CUE_CLUSTER, REFERENCE,
+}
 DEEPEST = 16  # elements in each other; the format has six
 _MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE, CUE_PLACE}
 
@@ -67,13 +70,25 @@ def mux(payload: bytes) -> bytes:
     frames = [bytes(view[i : i + FRAME]) for i in range(0, len(payload), FRAME)]
     millis = lambda k: k * NANOS // 1_000_000
     info = element(INFO, element(TIMESTAMP_SCALE, 1_000_000), element(DURATION, float(millis(len(frames)))))
-    track = element(TRACKS, element(TRACK, element(NUMBER, 1), element(UID, 1), element(TYPE, 2), element(DEFAULT_DURATION, NANOS), element(CODEC, "A_PCM/INT/LIT"), element(AUDIO, element(RATE, float(HERTZ)), element(CHANNELS, 1), element(BITS, 8))))
+    track = element(
+        TRACKS,
+        element(
+            TRACK, element(NUMBER, 1), element(UID, 1), element(TYPE, 2), element(DEFAULT_DURATION, NANOS),
+            element(CODEC, "A_PCM/INT/LIT"),
+            element(AUDIO, element(RATE, float(HERTZ)), element(CHANNELS, 1), element(BITS, 8)),
+        ),
+    )
     body, cues = [info, track], []
     place = len(info) + len(track)
     for at in range(0, len(frames), PER_CLUSTER):
         own = [element(CLUSTER_TIME, millis(at))]
         for k in range(at, min(at + PER_CLUSTER, len(frames)), LACED):
-            own.append(element(SIMPLE_BLOCK, block(1, millis(k) - millis(at), frames[k : min(k + LACED, at + PER_CLUSTER)], (XIPH, FIXED, SIZED)[k // LACED % 3])))
+            own.append(
+                element(
+                    SIMPLE_BLOCK,
+                    block(1, millis(k) - millis(at), frames[k : min(k + LACED, at + PER_CLUSTER)], (XIPH, FIXED, SIZED)[k // LACED % 3]),
+                )
+            )
         body.append(element(CLUSTER, *own))
         cues.append(element(CUE, element(CUE_TIME, millis(at)), element(CUE_PLACE, element(CUE_TRACK, 1), element(CUE_CLUSTER, place))))
         place += len(body[-1])
@@ -237,7 +252,12 @@ def packets(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     packets before the fault, maybe none; a null key passes through as it is (no detour over
     floats); repeated rows each have their packets; no rows give none.
     """
-    kinds = pa.schema([("track", pa.int64()), ("nanos", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("keyframe", pa.bool_()), ("lace", pa.int32()), ("cued", pa.bool_())])
+    kinds = pa.schema(
+        [
+            ("track", pa.int64()), ("nanos", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()),
+            ("keyframe", pa.bool_()), ("lace", pa.int32()), ("cued", pa.bool_()),
+        ]
+    )
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", track long, nanos long, offset long, size long, keyframe boolean, lace int, cued boolean"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +269,10 @@ def packets(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
                     some = media.packets[at : at + ROWS]
                     own = [batch.column(k).take(pa.array([place] * len(some))) for k in range(len(keys))]
                     columns = [*zip(*some), [(p[0], p[1]) in cued for p in some]]
-                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, f.type) for c, f in zip(columns, kinds))], names=[*keys, *kinds.names])
+                    yield pa.RecordBatch.from_arrays(
+                        [*own, *(pa.array(c, f.type) for c, f in zip(columns, kinds))],
+                        names=[*keys, *kinds.names],
+                    )
 
     return df.select(*keys, column).mapInArrow(rows, schema)
 
@@ -274,7 +297,10 @@ def with_media(docs: DataFrame) -> DataFrame:
             for part in _slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([mux(payload_of(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([mux(payload_of(t)) for t in texts], pa.binary())],
+                    names=["doc_id", "n_bytes", "media"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(store, f"doc_id {kind}, n_bytes long, media binary")
@@ -311,7 +337,13 @@ def digest(stored: DataFrame) -> DataFrame:
             for part in _slices(batch, "media"):
                 rows = [summary(x.as_py()) for x in part.column("media")]
                 columns = [pa.array([r[k] for r in rows], pa.string() if k in (1, 4, 5) else pa.int64()) for k in range(6)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=["doc_id", "n_bytes", *names])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("n_bytes"), *columns],
+                    names=["doc_id", "n_bytes", *names],
+                )
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, (
+        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+        f"media_sha256 string, feature string"
+    ))

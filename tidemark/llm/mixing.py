@@ -28,13 +28,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), budget: floa
     """
     turn = (F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1) % len(weights)
     rows = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
-    rows = rows.withColumn("most", (F.col("source_size") * most_repeats).cast("double")).withColumn("full_at", F.col("most") / F.col("weight"))
+    rows = rows.withColumn(
+        "most", (F.col("source_size") * most_repeats).cast("double"),
+    ).withColumn("full_at", F.col("most") / F.col("weight"))
     earlier = Window.orderBy("full_at", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     held, used = (F.coalesce(F.sum(c).over(earlier), F.lit(0.0)) for c in ("most", "weight"))
     rows = rows.withColumn("level", (F.sum("source_size").over(whole) * F.lit(budget) - held) / (F.sum("weight").over(whole) - used))
     level = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(whole)
-    return rows.select("source", "source_size", "weight", F.least("most", F.coalesce(F.col("weight") * level, F.col("most"))).alias("target"))
+    return rows.select(
+        "source", "source_size", "weight",
+        F.least("most", F.coalesce(F.col("weight") * level, F.col("most"))).alias("target"),
+    )
 
 
 def cut_level(packets: DataFrame, budget: int, ticks: int) -> tuple[int, int, int]:
@@ -53,7 +58,9 @@ def cut_level(packets: DataFrame, budget: int, ticks: int) -> tuple[int, int, in
         step = min(PROBE_BITS, shift)
         shift -= step
         high = low + (1 << (shift + step))
-        inside = packets.where((F.col("finish") > low) & (F.col("begin") < high)).select(F.greatest("begin", F.lit(low)).alias("b"), F.least("finish", F.lit(high)).alias("f"), "rate")
+        inside = packets.where((F.col("finish") > low) & (F.col("begin") < high)).select(
+            F.greatest("begin", F.lit(low)).alias("b"), F.least("finish", F.lit(high)).alias("f"), "rate",
+        )
         cell = F.explode(F.sequence(F.shiftright(F.col("b") - low, shift), F.shiftright(F.col("f") - low - 1, shift)))
         inside = inside.select("b", "f", "rate", cell.alias("cell"))
         start = F.lit(low) + F.shiftleft("cell", shift)
@@ -70,7 +77,10 @@ def cut_level(packets: DataFrame, budget: int, ticks: int) -> tuple[int, int, in
     return low, budget * ticks - sent, more
 
 
-def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), budget: float = 1.0, most_repeats: int = 3, bucket_rows: int = 20_000) -> DataFrame:
+def fair_queue(
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), budget: float = 1.0, most_repeats: int = 3,
+    bucket_rows: int = 20_000,
+) -> DataFrame:
     """Every document in the mix's order: doc_id, source, size, source_size, target, finish, taken, copies.
 
     Documents of a source stand in an order shuffled by a digest of doc_id, or of the text
@@ -97,14 +107,21 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), budget: fl
     plan = saved(targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, budget, most_repeats))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).drop("bucket_size")
-    offsets = offsets.withColumnRenamed("source", "of").join(plan.withColumnRenamed("source", "of_"), F.col("of").eqNullSafe(F.col("of_"))).drop("of_").withColumnRenamed("bucket", "in_bucket")
+    offsets = offsets.withColumnRenamed("source", "of").join(
+        plan.withColumnRenamed("source", "of_"), F.col("of").eqNullSafe(F.col("of_")),
+    ).drop("of_").withColumnRenamed("bucket", "in_bucket")
     inside = Window.partitionBy("source", "bucket").orderBy("digest", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(offsets, rows["source"].eqNullSafe(offsets["of"]) & (rows["bucket"] == offsets["in_bucket"]))
     rate = F.col("weight").cast("long")
-    rows = rows.withColumn("start", F.col("before") + F.col("inside")).withColumn("finish", (F.col("start") + F.col("size")) / F.col("weight"))
+    rows = rows.withColumn("start", F.col("before") + F.col("inside")).withColumn(
+        "finish", (F.col("start") + F.col("size")) / F.col("weight"),
+    )
     rows = saved(rows.select("doc_id", "source", "size", "source_size", "weight", "target", "finish", "start"))
-    of_round = rows.where("size > 0").select("start", "size", "source_size", rate.alias("rate"), F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("round"))
+    of_round = rows.where("size > 0").select(
+        "start", "size", "source_size", rate.alias("rate"),
+        F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("round"),
+    )
     first = F.col("start") + F.col("round") * F.col("source_size")
     ticks = math.lcm(*weights)  # of virtual time, in which a source of weight 1 sends a word
     each = (F.lit(ticks) / F.col("rate")).cast("long")
@@ -112,7 +129,10 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), budget: fl
     total = plan.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     low, p, q = cut_level(packets, int(total * budget), ticks)
     # Words that a source of each weight has sent by then.
-    sent = F.element_at(F.create_map(*[F.lit(x) for w in sorted(set(weights)) for x in (w, (low * q + p) * w // (ticks * q))]), F.col("weight").cast("int")).cast("long")
+    sent = F.element_at(
+        F.create_map(*[F.lit(x) for w in sorted(set(weights)) for x in (w, (low * q + p) * w // (ticks * q))]),
+        F.col("weight").cast("int"),
+    ).cast("long")
     part = lambda k: F.greatest(F.lit(0), F.least("size", sent - F.lit(k) * F.col("source_size") - F.col("start")))
     taken = part(0)
     for k in range(1, most_repeats):

@@ -99,7 +99,9 @@ class Additive:
     grids: list[np.ndarray]
 
     def bins(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, k], "right") for k, e in enumerate(self.edges)], axis=1) if len(x) else np.zeros((0, len(self.edges)), int)
+        return np.stack(
+            [np.searchsorted(e, x[:, k], "right") for k, e in enumerate(self.edges)], axis=1,
+        ) if len(x) else np.zeros((0, len(self.edges)), int)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         b = self.bins(x)
@@ -154,7 +156,10 @@ def _quadrants(g: np.ndarray, h: np.ndarray, smooth: float) -> tuple[float, np.n
     return float(gain[i, j]), step
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, pairs: int = 6, rate: float = 0.1, smooth: float = 5.0, patience: int = 40) -> Additive:
+def fit(
+    x: np.ndarray, y: np.ndarray, rounds: int = 400, pairs: int = 6, rate: float = 0.1, smooth: float = 5.0,
+    patience: int = 40,
+) -> Additive:
     """Boost one small tree a feature, in turn, then one a chosen pair; rounds end when a fifth kept aside gets no better."""
     n, f = x.shape
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(f)]
@@ -181,7 +186,10 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, pairs: int = 6, rate: f
             for k, own in enumerate(index):
                 g, h = pull()
                 shape = tables[k].shape
-                step = rate * step_of(np.bincount(own, g, tables[k].size).reshape(shape), np.bincount(own, h, tables[k].size).reshape(shape))
+                step = rate * step_of(
+                    np.bincount(own, g, tables[k].size).reshape(shape),
+                    np.bincount(own, h, tables[k].size).reshape(shape),
+                )
                 tables[k] += step
                 total = total + step.ravel()[own]
             now = loss()
@@ -193,7 +201,10 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, pairs: int = 6, rate: f
                     break
         for t, best in zip(tables, kept):
             t[...] = best
-        total = model.base + sum(t.ravel()[i] for t, i in zip([*model.tables, *model.grids], [*(b[:, k] for k in range(f)), *(b[:, i] * model.grids[m].shape[1] + b[:, j] for m, (i, j) in enumerate(model.pairs))]))
+        total = model.base + sum(t.ravel()[i] for t, i in zip(
+            [*model.tables, *model.grids],
+            [*(b[:, k] for k in range(f)), *(b[:, i] * model.grids[m].shape[1] + b[:, j] for m, (i, j) in enumerate(model.pairs))],
+        ))
 
     boost(model.tables, [b[:, k] for k in range(f)], lambda g, h: _stump(g, h, smooth))
     g, h = pull()
@@ -209,7 +220,10 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, pairs: int = 6, rate: f
         model.pairs.append((i, j))
         model.grids.append(np.zeros((len(edges[i]) + 1, len(edges[j]) + 1)))
     if model.pairs:
-        boost(model.grids, [b[:, i] * t.shape[1] + b[:, j] for (i, j), t in zip(model.pairs, model.grids)], lambda g, h: _quadrants(g, h, smooth)[1])
+        boost(
+            model.grids, [b[:, i] * t.shape[1] + b[:, j] for (i, j), t in zip(model.pairs, model.grids)],
+            lambda g, h: _quadrants(g, h, smooth)[1],
+        )
     return model
 
 
@@ -226,7 +240,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Additive |
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label_"), *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=["doc_id", "label_", *FEATURES])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("label_"), *(pa.array(x[:, k]) for k in range(x.shape[1]))],
+                names=["doc_id", "label_", *FEATURES],
+            )
 
     # ``most`` identifiers bound what is broadcast, and one row of each what comes back, however often a document is repeated.
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -264,4 +281,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
     (labels' or documents') are ignored; no labels give score 0.5, predicted 0.
     """
     scores = scored(docs.select("doc_id", "text"), train(docs, labels, most))
-    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scores.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"),
+    )

@@ -35,7 +35,10 @@ ENCODINGS = (
 #: Natural tokens as a chain of classes (upper, lower, digit, symbol; the last row is for the first character): chances of the next class, and below of the letters in a class.
 CHAIN = ((0.66, 0.25, 0.04, 0.05), (0.04, 0.87, 0.03, 0.06), (0.08, 0.12, 0.6, 0.2), (0.2, 0.6, 0.1, 0.1), (0.25, 0.6, 0.05, 0.1))
 #: Letters of English, a to z, in hundredths of a per cent; SPREAD of their chance is dealt evenly instead, for names and other languages.
-LETTERS, SPREAD = (817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7), 0.1
+LETTERS, SPREAD = (
+    817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98,
+    236, 15, 197, 7,
+), 0.1
 #: False-discovery rate, in each class of encodings and lengths by itself, among the tokens that the battery rejects as not uniform,
 #: and among those that are called random.
 RATE = 0.01
@@ -53,9 +56,21 @@ def _sum(xs: Column) -> Column:
 
 def prefix_sums(xs: Column, block: int = 256) -> Column:
     """For each element the sum of those before it; blocks keep long arrays from a square of work."""
-    sums = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")), lambda c: _sum(F.slice(v, c * block + 1, F.lit(block))))
+    sums = lambda v: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(v) - 1) / block).cast("int")),
+        lambda c: _sum(F.slice(v, c * block + 1, F.lit(block))),
+    )
     before = lambda s: F.transform(s, lambda _, i: _sum(F.slice(s, F.lit(1), i)))
-    whole = let(xs, lambda v: let(let(sums(v), before), lambda b: F.transform(v, lambda _, i: F.get(b, F.floor(i / block).cast("int")) + _sum(F.slice(v, F.floor(i / block).cast("int") * block + 1, i % block)))))
+    whole = let(
+        xs,
+        lambda v: let(
+            let(sums(v), before),
+            lambda b: F.transform(
+                v,
+                lambda _, i: F.get(b, F.floor(i / block).cast("int")) + _sum(F.slice(v, F.floor(i / block).cast("int") * block + 1, i % block)),
+            ),
+        ),
+    )
     return F.when(F.size(xs) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -69,8 +84,17 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     spans = let(F.struct(gaps.alias("g"), lengths(found).alias("m"), values.alias("v")), lambda s: let(
-        F.struct(prefix_sums(F.zip_with(F.slice(s["g"], F.lit(1), F.size(s["m"])), s["m"], lambda g, m: g + m)).alias("p"), s["g"].alias("g"), s["m"].alias("m"), s["v"].alias("v")),
-        lambda t: F.transform(t["p"], lambda p, i: F.struct((p + F.get(t["g"], i)).alias("start"), (p + F.get(t["g"], i) + F.get(t["m"], i)).alias("end"), F.get(t["v"], i).alias("value"))),
+        F.struct(
+            prefix_sums(F.zip_with(F.slice(s["g"], F.lit(1), F.size(s["m"])), s["m"], lambda g, m: g + m)).alias("p"),
+            s["g"].alias("g"), s["m"].alias("m"), s["v"].alias("v"),
+        ),
+        lambda t: F.transform(
+            t["p"],
+            lambda p, i: F.struct(
+                (p + F.get(t["g"], i)).alias("start"), (p + F.get(t["g"], i) + F.get(t["m"], i)).alias("end"),
+                F.get(t["v"], i).alias("value"),
+            ),
+        ),
     ))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
 
@@ -112,13 +136,24 @@ def battery(token: Column) -> Column:
         def step(a: Column, v: Column) -> Column:
             high = lambda x: (x * 2 >= t["k"]).cast("long")
             changed = F.when((a["n"] == 0) | (high(v) != high(a["last"])), 1).otherwise(0)
-            return F.struct(v.alias("last"), (a["n"] + 1).alias("n"), (a["high"] + high(v)).alias("high"), (a["runs"] + changed).alias("runs"), (a["s"] + v).alias("s"), (a["ss"] + v * v).alias("ss"), (a["sx"] + F.when(a["n"] > 0, a["last"] * v).otherwise(0)).alias("sx"), F.when(a["n"] == 0, v).otherwise(a["first"]).alias("first")).cast(state)
+            return F.struct(
+                v.alias("last"), (a["n"] + 1).alias("n"), (a["high"] + high(v)).alias("high"),
+                (a["runs"] + changed).alias("runs"), (a["s"] + v).alias("s"), (a["ss"] + v * v).alias("ss"),
+                (a["sx"] + F.when(a["n"] > 0, a["last"] * v).otherwise(0)).alias("sx"),
+                F.when(a["n"] == 0, v).otherwise(a["first"]).alias("first"),
+            ).cast(state)
 
         squares = F.aggregate(
             F.array_sort(values), F.struct(F.lit(-1).cast("long").alias("last"), zero.alias("run"), zero.alias("sum")),
-            lambda a, v: F.struct(v.alias("last"), F.when(v == a["last"], a["run"] + 1).otherwise(1).cast("long").alias("run"), (a["sum"] + F.when(v == a["last"], 2 * a["run"] + 1).otherwise(1)).cast("long").alias("sum")),
+            lambda a, v: F.struct(
+                v.alias("last"), F.when(v == a["last"], a["run"] + 1).otherwise(1).cast("long").alias("run"),
+                (a["sum"] + F.when(v == a["last"], 2 * a["run"] + 1).otherwise(1)).cast("long").alias("sum"),
+            ),
         )["sum"]
-        return F.struct(F.aggregate(values, start.cast(state), step).alias("a"), squares.alias("c2"), t["k"].cast("double").alias("k"), t["which"].alias("which"))
+        return F.struct(
+            F.aggregate(values, start.cast(state), step).alias("a"), squares.alias("c2"),
+            t["k"].cast("double").alias("k"), t["which"].alias("which"),
+        )
 
     def tests(r: Column) -> Column:
         a, k, c2 = r["a"], r["k"], r["c2"]
@@ -133,9 +168,23 @@ def battery(token: Column) -> Column:
         serial = a["sx"] - mu * (2 * a["s"] - a["first"] - a["last"]) + (n - 1) * mu * mu
         p_serial = F.when(varies <= 1e-9, 0.0).otherwise(2 * upper_tail(F.abs(serial / F.greatest(varies, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))
         chances = F.struct(upper_tail(z_chi).alias("p_chi"), p_runs.alias("p_runs"), p_serial.alias("p_serial"))
-        return let(chances, lambda p: F.struct(pick(r["which"], [e for e, _, _ in ENCODINGS]).alias("encoding"), a["n"].alias("n"), p["p_chi"].alias("p_chi"), p["p_runs"].alias("p_runs"), p["p_serial"].alias("p_serial"), combined(p["p_chi"], p["p_runs"], p["p_serial"]).alias("p_all")))
-
-    named = let(F.struct(clean.alias("text"), which.alias("which")), lambda t: F.struct(t["text"].alias("text"), t["which"].alias("which"), pick(t["which"], [x for _, _, x in ENCODINGS]).alias("alphabet"), pick(t["which"], [len(x) for _, _, x in ENCODINGS]).alias("k")))
+        return let(
+            chances,
+            lambda p: F.struct(
+                pick(r["which"], [e for e, _, _ in ENCODINGS]).alias("encoding"), a["n"].alias("n"),
+                p["p_chi"].alias("p_chi"), p["p_runs"].alias("p_runs"), p["p_serial"].alias("p_serial"),
+                combined(p["p_chi"], p["p_runs"], p["p_serial"]).alias("p_all"),
+            ),
+        )
+
+    named = let(
+        F.struct(clean.alias("text"), which.alias("which")),
+        lambda t: F.struct(
+            t["text"].alias("text"), t["which"].alias("which"),
+            pick(t["which"], [x for _, _, x in ENCODINGS]).alias("alphabet"),
+            pick(t["which"], [len(x) for _, _, x in ENCODINGS]).alias("k"),
+        ),
+    )
     return let(let(named, read), tests)
 
 
@@ -158,7 +207,10 @@ def p_natural(token: Column, t: Column) -> Column:
     costs = F.array(*[F.lit(x) for x in _costs()])
     zero = F.struct(F.lit(4).alias("after"), F.lit(0.0).alias("log"))
     of = lambda v: F.when(v < 26, 0).when(v < 52, 1).when(v < 62, 2).otherwise(3)
-    log = F.aggregate(values, zero, lambda a, v: F.struct(of(v).alias("after"), (a["log"] + F.get(costs, a["after"] * 64 + v)).alias("log")))["log"]
+    log = F.aggregate(
+        values, zero,
+        lambda a, v: F.struct(of(v).alias("after"), (a["log"] + F.get(costs, a["after"] * 64 + v)).alias("log")),
+    )["log"]
     sizes = F.create_map(*[F.lit(x) for name, _, letters in ENCODINGS for x in (name, float(len(letters)))])
     ratio = log + t["n"] * F.log(F.element_at(sizes, t["encoding"])) - F.log(2 * F.greatest(t["p_all"], F.lit(1e-300)))
     return F.exp(F.least(ratio, F.lit(0.0)))
@@ -193,7 +245,13 @@ def bars(tested: DataFrame, rate: float = RATE) -> dict[str, int]:
 
 def _base_spans(found: Column, order: int, least: int) -> Column:
     long_enough = F.filter(found, lambda s: F.length(s["value"]) >= least)
-    return F.transform(long_enough, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.lit("").alias("detail")))
+    return F.transform(
+        long_enough,
+        lambda s: F.struct(
+            s["start"].alias("start"), F.lit(order).alias("kind"), s["end"].alias("end"),
+            s["value"].alias("value"), F.lit("").alias("detail"),
+        ),
+    )
 
 
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
@@ -207,11 +265,16 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     base = []
-    for order, (pattern, group, gate, least) in enumerate(((ASSIGN, 2, None, 6), (ACCESS, 0, "AKIA[A-Z0-9]{16}", 20), (HEX, 0, "[0-9a-f]{24}", 24))):
+    for order, (pattern, group, gate, least) in enumerate((
+        (ASSIGN, 2, None, 6), (ACCESS, 0, "AKIA[A-Z0-9]{16}", 20), (HEX, 0, "[0-9a-f]{24}", 24),
+    )):
         # Runs are maximal, so leaving out short ones in the pattern gives the same matches as dropping them.
         exact = pattern if gate is None else f"AKIA[A-Z0-9]{{{least - 4},}}" if "AKIA" in pattern else f"[0-9a-f]{{{least},}}"
         base.append(_base_spans(located(text, exact, group), order, least))
-    tokens = F.transform(located(text, CANDIDATE), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), battery(s["value"]).alias("t")))
+    tokens = F.transform(
+        located(text, CANDIDATE),
+        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), battery(s["value"]).alias("t")),
+    )
     tokens = F.transform(tokens, lambda s: s.withField("p", p_natural(s["value"], s["t"])))
     rows = saved(docs.select("doc_id", F.concat(*base).alias("base"), tokens.alias("tokens")))
     as_map = lambda limits: F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]).cast("map<string,int>") if limits else F.create_map().cast("map<string,int>")
@@ -221,10 +284,29 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     # What is not uniform takes part with chance 1: only what can be reported may be a discovery.
     limits = bars(each.select("c", F.when(found(F.col("u"), F.col("c"), uneven), 1.0).otherwise(F.col("p")).alias("p")), rate)
     inside = lambda s: F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    random = F.filter("tokens", lambda s: ~found(s["t"]["p_all"], _class(s["t"]), uneven) & found(s["p"], _class(s["t"]), limits) & ~inside(s))
-    named = F.transform(random, lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["t"]["encoding"].alias("detail")))
+    random = F.filter(
+        "tokens",
+        lambda s: ~found(s["t"]["p_all"], _class(s["t"]), uneven) & found(s["p"], _class(s["t"]), limits) & ~inside(s),
+    )
+    named = F.transform(
+        random,
+        lambda s: F.struct(
+            s["start"].alias("start"), F.lit(3).alias("kind"), s["end"].alias("end"),
+            s["value"].alias("value"), s["t"]["encoding"].alias("detail"),
+        ),
+    )
     spans = F.array_sort(F.concat("base", named))
-    return rows.select("doc_id", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"), s["end"].alias("end"), s["value"].alias("value"), s["detail"].alias("detail"))).alias("spans"))
+    return rows.select(
+        "doc_id",
+        F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"),
+                s["end"].alias("end"), s["value"].alias("value"), s["detail"].alias("detail"),
+            ),
+        ).alias("spans"),
+    )
 
 
 def joined(spans: Column) -> Column:
@@ -234,4 +316,7 @@ def joined(spans: Column) -> Column:
 def digest(found: DataFrame) -> DataFrame:
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts[:3], F.sha2(joined(of(*KINDS[:3])).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), counts[3])
+    return found.select(
+        "doc_id", *counts[:3], F.sha2(joined(of(*KINDS[:3])).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"), counts[3],
+    )

@@ -43,7 +43,9 @@ def find_splitters(keys: DataFrame, pieces: int, tolerance: float = 0.0) -> list
         probe = F.shiftright("key", shift)
         parent = F.shiftright("key", shift + PROBE_BITS)
         rows = keys if total is None else keys.where(parent.isin(list(open_at)))
-        counted = rows.groupBy(parent.alias("parent"), probe.alias("probe")).agg(F.sum("size").alias("bytes"), F.min("key").alias("first"), F.max("key").alias("last")).collect()
+        counted = rows.groupBy(parent.alias("parent"), probe.alias("probe")).agg(
+            F.sum("size").alias("bytes"), F.min("key").alias("first"), F.max("key").alias("last"),
+        ).collect()
         by_parent: dict[int, list] = {}
         for row in counted:
             by_parent.setdefault(row["parent"], []).append(row)
@@ -112,7 +114,12 @@ def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.0,
     """
     text = F.coalesce("text", F.lit(""))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
-    keys = saved(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), shard_key(F.col("text"), ident).alias("key")))
+    keys = saved(
+        docs.select(
+            "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"), shard_key(F.col("text"), ident).alias("key"),
+        )
+    )
     splitters = find_splitters(keys.select("key", "size"), shards, tolerance)
     placed = _pieces(keys, piece_rows).withColumn("shard", place(F.col("key"), splitters).cast("int"))
     counts = saved(placed.groupBy("shard", "piece").agg(F.count("*").alias("n")))
@@ -120,4 +127,6 @@ def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.0,
     starts = counts.select("shard", "piece", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     order = Window.partitionBy("shard", "piece").orderBy("key", "doc_id", "text_crc32", "size")
     ranked = placed.withColumn("place", F.row_number().over(order))
-    return ranked.join(starts, ["shard", "piece"]).select("doc_id", "size", "text_crc32", "key", "shard", (F.col("start") + F.col("place") - 1).alias("slot"))
+    return ranked.join(starts, ["shard", "piece"]).select(
+        "doc_id", "size", "text_crc32", "key", "shard", (F.col("start") + F.col("place") - 1).alias("slot"),
+    )

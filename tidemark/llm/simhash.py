@@ -96,7 +96,10 @@ def close_pairs(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
     # At most 1089 cells, each with at most 41 others in reach.
     reach = tiles.join(F.broadcast(near), "cell").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     reach = reach.withColumn("other", at("other_cell", "other")).where("tile <= other").select("tile", "own", "other")
-    pairs = reach.join(tiles.select(F.col("tile").alias("other"), F.col("own").alias("theirs")), "other").select((F.col("tile") == F.col("other")).alias("same"), "own", F.when(F.col("tile") != F.col("other"), F.col("theirs")).alias("theirs"))
+    pairs = reach.join(tiles.select(F.col("tile").alias("other"), F.col("own").alias("theirs")), "other").select(
+        (F.col("tile") == F.col("other")).alias("same"), "own",
+        F.when(F.col("tile") != F.col("other"), F.col("theirs")).alias("theirs"),
+    )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import saved
 
 #: What a schema's type is called where the value is described by ``schema_of_variant``.
-_TYPES = {"string": r"^STRING$", "integer": r"^BIGINT$", "number": r"^(BIGINT|DOUBLE|DECIMAL.*)$", "boolean": r"^BOOLEAN$", "object": r"^OBJECT.*$", "array": r"^ARRAY.*$", "null": r"^VOID$"}
+_TYPES = {
+    "string": r"^STRING$", "integer": r"^BIGINT$", "number": r"^(BIGINT|DOUBLE|DECIMAL.*)$",
+    "boolean": r"^BOOLEAN$", "object": r"^OBJECT.*$", "array": r"^ARRAY.*$", "null": r"^VOID$",
+}
 CALL = ["thread", "call_id"]
 
 
@@ -27,7 +30,9 @@ def _chains(singles: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = state.join(onward, ["thread", "head"], "left")
         if reach > size or both.where("next IS NOT NULL").isEmpty():
             break
-        state = saved(both.select(*CALL, F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far")))
+        state = saved(
+            both.select(*CALL, F.coalesce("next", "head").alias("head"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"))
+        )
         reach *= 2
     return tuple(saved(both.where(F.col("next").isNull() == found).select(*CALL, "head", "far")) for found in (True, False))
 
@@ -51,14 +56,22 @@ def levels(calls: DataFrame) -> DataFrame:
     ends = chained.select("thread", F.col("call_id").alias("need"), "head", "far")
     behind = stuck.select("thread", F.col("call_id").alias("need"), F.lit(True).alias("stuck"))
     several = edges.join(number.where("n > 1").select(*CALL), CALL, "left_semi").join(ends, ["thread", "need"], "left").join(behind, ["thread", "need"], "left")
-    left = saved(several.select(*CALL, F.when(F.col("stuck").isNull(), F.coalesce("head", "need")).alias("head"), (1 + F.coalesce("far", F.lit(0))).alias("far")))
+    left = saved(
+        several.select(
+            *CALL, F.when(F.col("stuck").isNull(), F.coalesce("head", "need")).alias("head"),
+            (1 + F.coalesce("far", F.lit(0))).alias("far"),
+        )
+    )
     done = [nodes.join(number.select(*CALL), CALL, "left_anti").withColumn("level", F.lit(0).cast("long"))]
     while not left.isEmpty():
         so_far = done[0]
         for more in done[1:]:
             so_far = so_far.union(more)
         before = so_far.select("thread", F.col("call_id").alias("head"), "level")
-        most = left.join(before, ["thread", "head"], "left").groupBy(*CALL).agg(F.count("*").alias("n"), F.count("level").alias("known"), F.max(F.col("level") + F.col("far")).alias("level"))
+        most = left.join(before, ["thread", "head"], "left").groupBy(*CALL).agg(
+            F.count("*").alias("n"), F.count("level").alias("known"),
+            F.max(F.col("level") + F.col("far")).alias("level"),
+        )
         ready = saved(most.where("n = known").select(*CALL, "level"))
         if ready.isEmpty():
             break
@@ -68,18 +81,35 @@ def levels(calls: DataFrame) -> DataFrame:
     for more in done[1:]:
         heads = heads.union(more)
     heads = saved(heads)
-    of_chain = chained.join(heads.select("thread", F.col("call_id").alias("head"), "level"), ["thread", "head"]).select(*CALL, (F.col("level") + F.col("far")).alias("level"))
+    of_chain = chained.join(
+        heads.select("thread", F.col("call_id").alias("head"), "level"), ["thread", "head"],
+    ).select(*CALL, (F.col("level") + F.col("far")).alias("level"))
     level = heads.union(of_chain)
-    return nodes.join(level, CALL, "left").join(lost, CALL, "left").select(*CALL, F.col("level").cast("int").alias("level"), F.coalesce("lost", F.lit(0).cast("long")).alias("lost"))
+    return nodes.join(level, CALL, "left").join(lost, CALL, "left").select(
+        *CALL, F.col("level").cast("int").alias("level"),
+        F.coalesce("lost", F.lit(0).cast("long")).alias("lost"),
+    )
 
 
 def _faults(kinds: Column, schema: Column) -> Column:
     """What is wrong with arguments (a map of name to type name) under a schema (a map of name to type and required)."""
-    missing = F.transform(F.filter(F.map_keys(schema), lambda k: F.element_at(schema, k)["required"] & ~F.array_contains(F.map_keys(kinds), k)), lambda k: F.concat(F.lit("missing "), k))
-    unknown = F.transform(F.filter(F.map_keys(kinds), lambda k: ~F.array_contains(F.map_keys(schema), k)), lambda k: F.concat(F.lit("unknown "), k))
+    missing = F.transform(
+        F.filter(F.map_keys(schema), lambda k: F.element_at(schema, k)["required"] & ~F.array_contains(F.map_keys(kinds), k)),
+        lambda k: F.concat(F.lit("missing "), k),
+    )
+    unknown = F.transform(
+        F.filter(F.map_keys(kinds), lambda k: ~F.array_contains(F.map_keys(schema), k)),
+        lambda k: F.concat(F.lit("unknown "), k),
+    )
     pattern = F.create_map(*[F.lit(x) for pair in _TYPES.items() for x in pair])
-    fits = lambda k: F.regexp(F.element_at(kinds, k), F.coalesce(F.element_at(pattern, F.element_at(schema, k)["type"]), F.lit(".*")))
-    wrong = F.transform(F.filter(F.map_keys(kinds), lambda k: F.array_contains(F.map_keys(schema), k) & ~fits(k)), lambda k: F.concat(F.lit("type "), k))
+    fits = lambda k: F.regexp(
+        F.element_at(kinds, k),
+        F.coalesce(F.element_at(pattern, F.element_at(schema, k)["type"]), F.lit(".*")),
+    )
+    wrong = F.transform(
+        F.filter(F.map_keys(kinds), lambda k: F.array_contains(F.map_keys(schema), k) & ~fits(k)),
+        lambda k: F.concat(F.lit("type "), k),
+    )
     return F.array_sort(F.concat(missing, unknown, wrong))
 
 
@@ -102,26 +132,47 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     order = levels(calls.where("thread IS NOT NULL AND call_id IS NOT NULL"))
     each = saved(results.where("thread IS NOT NULL AND call_id IS NOT NULL").groupBy(*CALL, "content").agg(F.count("*").alias("n")))
     first = saved(each.groupBy(*CALL).agg(F.min("content").alias("content"), F.sum("n").alias("n_results")))
-    further = each.join(first.select(*CALL, F.col("content").alias("first")).hint("shuffle_hash"), CALL).where("content <> first").select(*CALL, "content", F.col("n").alias("n_results"))
+    further = each.join(
+        first.select(*CALL, F.col("content").alias("first")).hint("shuffle_hash"), CALL,
+    ).where("content <> first").select(*CALL, "content", F.col("n").alias("n_results"))
     unkeyed = results.where("thread IS NULL OR call_id IS NULL").select(*CALL, "content", F.lit(1).cast("long").alias("n_results"))
     entry = F.map_from_entries(F.collect_list(F.struct("parameter", "rule")))  # as long as one tool's signature
-    rules = schemas.where("name IS NOT NULL AND parameter IS NOT NULL").groupBy("name", "parameter").agg(F.min(F.struct("type", F.coalesce("required", F.lit(False)).alias("required"))).alias("rule"))
+    rules = schemas.where("name IS NOT NULL AND parameter IS NOT NULL").groupBy("name", "parameter").agg(F.min(F.struct(
+        "type", F.coalesce("required", F.lit(False)).alias("required"),
+    )).alias("rule"))
     rules = rules.groupBy("name").agg(entry.alias("schema"))
     parsed = F.try_parse_json("arguments")
     members = F.from_json(F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.to_json(parsed)), "map<string,variant>")
-    rows = calls.join(order.hint("shuffle_hash"), CALL, "left").join(first.hint("shuffle_hash"), CALL, "left").join(rules, "name", "left").withColumn("kinds", F.transform_values(members, lambda _, v: F.schema_of_variant(v)))
+    rows = calls.join(order.hint("shuffle_hash"), CALL, "left").join(first.hint("shuffle_hash"), CALL, "left").join(rules, "name", "left").withColumn(
+        "kinds", F.transform_values(members, lambda _, v: F.schema_of_variant(v)),
+    )
     errors = F.concat(
         F.when(F.col("kinds").isNull(), F.array(F.lit("arguments"))).when(F.col("schema").isNull(), F.array(F.lit("schema"))).otherwise(_faults(F.col("kinds"), F.col("schema"))),
         F.when(F.col("lost") > 0, F.array(F.lit("need"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("level").isNull() & F.col("thread").isNotNull() & F.col("call_id").isNotNull(), F.array(F.lit("circle"))).otherwise(F.array().cast("array<string>")),
+        F.when(
+            F.col("level").isNull() & F.col("thread").isNotNull() & F.col("call_id").isNotNull(),
+            F.array(F.lit("circle")),
+        ).otherwise(F.array().cast("array<string>")),
     )
-    text = lambda arguments, call, name, result: F.to_json(F.struct(arguments.alias("arguments"), call.alias("call_id"), name.alias("name"), result.alias("result")), {"ignoreNullFields": "false"})
+    text = lambda arguments, call, name, result: F.to_json(
+        F.struct(arguments.alias("arguments"), call.alias("call_id"), name.alias("name"), result.alias("result")),
+        {"ignoreNullFields": "false"},
+    )
     count = F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results")
-    called = rows.select(*CALL, F.lit("call").alias("kind"), "name", "level", count, errors.alias("errors"), text(parsed, F.col("call_id"), F.col("name"), F.col("content")).alias("json"))
-    alone = first.join(calls.select(*CALL).distinct().hint("shuffle_hash"), CALL, "left_anti").union(unkeyed.select(first.columns)).withColumn("error", F.lit("call"))
+    called = rows.select(
+        *CALL, F.lit("call").alias("kind"), "name", "level", count, errors.alias("errors"),
+        text(parsed, F.col("call_id"), F.col("name"), F.col("content")).alias("json"),
+    )
+    alone = first.join(
+        calls.select(*CALL).distinct().hint("shuffle_hash"), CALL, "left_anti",
+    ).union(unkeyed.select(first.columns)).withColumn("error", F.lit("call"))
     alone = alone.union(further.withColumn("error", F.lit("repeated")))
     none = F.lit(None).cast("string")
-    orphans = alone.select(*CALL, F.lit("result").alias("kind"), none.alias("name"), F.lit(None).cast("int").alias("level"), "n_results", F.array("error").alias("errors"), text(F.lit(None).cast("variant"), F.col("call_id"), none, F.col("content")).alias("json"))
+    orphans = alone.select(
+        *CALL, F.lit("result").alias("kind"), none.alias("name"), F.lit(None).cast("int").alias("level"),
+        "n_results", F.array("error").alias("errors"),
+        text(F.lit(None).cast("variant"), F.col("call_id"), none, F.col("content")).alias("json"),
+    )
     return called.union(orphans)
 
 
@@ -139,8 +190,13 @@ def in_order(linked: DataFrame) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("part_", "thread").orderBy(last, "call_id", "kind", "json"))
     counts = saved(ranged.groupBy("part_", "thread").agg(F.count("*").alias("n")))
     earlier = Window.partitionBy("thread").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select(F.col("part_").alias("of_part"), F.col("thread").alias("of_thread"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    both = ranged.withColumn("inside_", inside).join(before, (F.col("part_") == F.col("of_part")) & F.col("thread").eqNullSafe(F.col("of_thread")))
+    before = counts.select(
+        F.col("part_").alias("of_part"), F.col("thread").alias("of_thread"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
+    )
+    both = ranged.withColumn("inside_", inside).join(
+        before, (F.col("part_") == F.col("of_part")) & F.col("thread").eqNullSafe(F.col("of_thread")),
+    )
     return both.withColumn("place", F.col("before") + F.col("inside_") - 1).select(*linked.columns, "place")
 
 
@@ -159,7 +215,18 @@ def of_conversations(turns: DataFrame) -> DataFrame:
     after = call.select(F.col("thread").alias("of_thread"), (F.col("turn") + 1).alias("after")).distinct()
     call = call.join(after.hint("shuffle_hash"), (F.col("thread") == F.col("of_thread")) & (F.col("turn") == F.col("after")), "left")
     previous = F.when(F.col("after").isNotNull(), F.col("turn") - 1).when(F.col("turn") >= 2, F.col("turn") - 2)
-    call = call.select("thread", F.col("turn").cast("string").alias("call_id"), "name", F.to_json(F.struct(previous.alias("previous"), "text", "turn")).alias("arguments"), F.array_compact(F.array(previous.cast("string"))).alias("needs"))
+    call = call.select(
+        "thread", F.col("turn").cast("string").alias("call_id"), "name",
+        F.to_json(F.struct(previous.alias("previous"), "text", "turn")).alias("arguments"),
+        F.array_compact(F.array(previous.cast("string"))).alias("needs"),
+    )
     result = turns.where(~other).select(thread, (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"))
-    rules = [("reply", "previous", "integer", True), ("reply", "text", "string", True), ("reply", "turn", "integer", True), ("configure", "text", "string", True), ("configure", "turn", "string", True), ("configure", "previous", "integer", False)]
-    return link_calls(call, result, turns.sparkSession.createDataFrame(rules, "name string, parameter string, type string, required boolean"))
+    rules = [
+        ("reply", "previous", "integer", True), ("reply", "text", "string", True),
+        ("reply", "turn", "integer", True), ("configure", "text", "string", True),
+        ("configure", "turn", "string", True), ("configure", "previous", "integer", False),
+    ]
+    return link_calls(
+        call, result,
+        turns.sparkSession.createDataFrame(rules, "name string, parameter string, type string, required boolean"),
+    )
