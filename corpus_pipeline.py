@@ -36,9 +36,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     groups = saved(simhash.near_groups(docs))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
-    heads = groups.groupBy("label").agg(F.min(order).alias("head")).select(F.col("head.doc_id").alias("of_id"), F.col("head.fp").alias("of_fp"))
+    heads = groups.groupBy("label").agg(F.min(order).alias("head")).select(
+        F.col("head.doc_id").alias("of_id"), F.col("head.fp").alias("of_fp"),
+    )
     again = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    heads = saved(heads.join(again.withColumn("again", F.lit(True)), F.col("of_id") == F.col("doc_id"), "left").select("of_id", "of_fp", (F.col("of_id").isNull() | F.coalesce("again", F.lit(False))).alias("odd")))
+    heads = saved(
+        heads.join(again.withColumn("again", F.lit(True)), F.col("of_id") == F.col("doc_id"), "left").select(
+            "of_id", "of_fp", (F.col("of_id").isNull() | F.coalesce("again", F.lit(False))).alias("odd"),
+        )
+    )
     rows = docs.select(*COLUMNS)
     clear = rows.join(heads.where("NOT odd").select("of_id").hint("merge"), F.col("doc_id") == F.col("of_id"), "left_semi")
     odd = heads.where("odd").select("of_id", "of_fp")
@@ -48,7 +54,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     alike = rows.join(odd.select("of_id").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi")
     prints = simhash.fingerprints(alike, keep=tuple(COLUMNS))
     kept = prints.join(odd.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("fp") == F.col("of_fp")), "left_semi")
-    return clear.union(kept.groupBy("doc_id", "fp").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*").select(*COLUMNS))
+    return clear.union(
+        kept.groupBy("doc_id", "fp").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*").select(*COLUMNS)
+    )
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +77,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     mixed = mixing.fair_queue(docs)
     copies = saved(mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")))
-    copies = copies.where("copies > 0").select(F.col("doc_id").alias("of"), F.col("source").alias("from_"), F.col("size").alias("size_"), "copies")
+    copies = copies.where("copies > 0").select(
+        F.col("doc_id").alias("of"), F.col("source").alias("from_"), F.col("size").alias("size_"), "copies",
+    )
     own = docs.select(*COLUMNS).withColumn("words_", mixing.word_count(F.col("text")))
-    copied = own.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("from_")) & (F.col("words_") == F.col("size_")))
+    copied = own.join(
+        copies.hint("merge"),
+        F.col("doc_id").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("from_")) & (F.col("words_") == F.col("size_")),
+    )
     return copied.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
@@ -84,7 +97,10 @@ def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return sharding.histogram_shards(docs).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-STAGES = [("quality", keep_quality), ("near_copies", keep_one_of_near_copies), ("benchmark", drop_benchmark), ("mix", mix_sources), ("shards", place_in_shards)]
+STAGES = [
+    ("quality", keep_quality), ("near_copies", keep_one_of_near_copies), ("benchmark", drop_benchmark),
+    ("mix", mix_sources), ("shards", place_in_shards),
+]
 #: The classifier and the fingerprints have no SQL form; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
