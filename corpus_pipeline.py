@@ -75,17 +75,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source and size, null doc_ids among them, get the copies of the one of them that gets most.
     Further columns are dropped; no rows give none.
     """
-    mixed = mixing.fair_queue(docs)
-    copies = saved(mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")))
-    copies = copies.where("copies > 0").select(
-        F.col("doc_id").alias("of"), F.col("source").alias("from_"), F.col("size").alias("size_"), "copies",
-    )
-    own = docs.select(*COLUMNS).withColumn("words_", mixing.word_count(F.col("text")))
-    copied = own.join(
-        copies.hint("merge"),
-        F.col("doc_id").eqNullSafe(F.col("of")) & F.col("source").eqNullSafe(F.col("from_")) & (F.col("words_") == F.col("size_")),
-    )
-    return copied.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    mixed = saved(mixing.fair_queue(docs).select("doc_id", "source", "size", "copies"))
+    most = saved(mixed.groupBy("doc_id", "source").agg(F.min("copies").alias("least"), F.max("copies").alias("copies")))
+    same = lambda own, of: F.col(own).eqNullSafe(F.col(of))
+    meet = same("doc_id", "of") & same("source", "from_")
+    named = most.withColumnsRenamed({"doc_id": "of", "source": "from_"})
+    rows = docs.select(*COLUMNS)
+    each = F.explode(F.sequence(F.lit(1), "copies"))
+    clear = rows.join(named.where("least = copies AND copies > 0").hint("merge"), meet).withColumn("copy", each).select(*COLUMNS)
+    if most.where("least < copies").isEmpty():
+        return clear
+    # Rows alike in doc_id and source but not in copies are told apart by their size.
+    odd = named.where("least < copies").select("of", "from_")
+    sizes = mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
+    sizes = sizes.withColumnsRenamed({"doc_id": "of", "source": "from_"})
+    own = rows.join(odd.hint("merge"), meet, "left_semi").withColumn("words_", mixing.word_count(F.col("text")))
+    told = own.join(sizes.hint("merge"), meet & (F.col("words_") == F.col("size"))).withColumn("copy", each).select(*COLUMNS)
+    return clear.union(told)
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
