@@ -81,6 +81,18 @@ def test_every_stage_takes_odd_rows(spark, small):
     assert all(stage(spark, empty, small).collect() == [] for _, stage in c.STAGES)
 
 
+def test_mix_of_repeated_identifiers(spark, small):
+    """One source takes twice the words it has: of rows alike in doc_id and source each gets the copies of its size."""
+    rows = [(i, "one two three " * 20, "en", "b") for i in range(40)] + [(1, "w " * 7, "en", "b"), (None, "a b c", "en", "b"), (None, "d " * 300, "en", "b"), (5, "word " * 400, "en", "a")]
+    docs = frame(spark, rows)
+    want = {}
+    for r in c.mixing.fair_queue(docs).collect():
+        key = (r["doc_id"], r["source"], r["size"])
+        want[key] = max(want.get(key, 0), r["copies"])
+    got = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in c.mix_sources(spark, docs, small).collect())
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_run_over_odd_rows(spark, small, tmp_path):
     frame(spark, ODD).write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("labels", "benchmark"):
