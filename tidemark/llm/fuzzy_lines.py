@@ -29,7 +29,7 @@ SKETCH, BELOW = 64, 3.0
 #: Rounds of comparing with one centre a bucket before the rest is compared across components.
 ROUNDS = 2
 #: Characters handled at once.
-_BLOCK = 1 << 16
+_BLOCK = 1 << 15
 _BLANK = " \t\x0b\f\r"
 _FACTORS = mixed(np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PAD = np.uint64(0x7FFFFFFF)
@@ -67,27 +67,34 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def shingles(lines: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash, line) of all character shingles, repeats included, block after block. Empty lines have none."""
+def _windows(lines: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, line, whole) of every run of WIDTH characters, block after block; not whole are those that reach into the next line."""
     data, offsets = text_bytes(lines)
     for first, last in chunks(offsets, 1 << 22):
         part, own = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         codes = part
         if len(part) and part.max() >= 128:
-            codes = np.frombuffer(part.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-            own = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])[own]
+            text = part.tobytes().decode("utf-8", "surrogatepass")
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            own = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80, dtype=np.int32)])[own]
         length = np.diff(own)
         of = np.repeat(np.arange(first, last, dtype=np.int32), length)
         for at in range(0, len(codes) - WIDTH + 1, _BLOCK):
             line = of[at : at + _BLOCK + WIDTH - 1]
-            whole = line[: 1 - WIDTH] == line[WIDTH - 1 :]
-            yield _hashes(codes[at : at + _BLOCK + WIDTH - 1])[whole], line[: 1 - WIDTH][whole].astype(np.int64)
+            begin = line[: 1 - WIDTH]
+            yield _hashes(codes[at : at + _BLOCK + WIDTH - 1]), begin, begin == line[WIDTH - 1 :]
         short = np.flatnonzero((length > 0) & (length < WIDTH))
         if len(short):
             padded = np.full((len(short), WIDTH), _PAD, np.uint64)
             for row, k in enumerate(short):
                 padded[row, : length[k]] = codes[own[k] : own[k + 1]]
-            yield _hashes(padded.ravel())[::WIDTH], short + first
+            yield _hashes(padded.ravel())[::WIDTH], (short + first).astype(np.int32), np.ones(len(short), bool)
+
+
+def shingles(lines: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, line) of all character shingles, repeats included, block after block. Empty lines have none."""
+    for hashes, line, whole in _windows(lines):
+        yield hashes[whole], line[whole].astype(np.int64)
 
 
 def minima(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +106,15 @@ def minima(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(lines)
     out = np.full(n * BINS, _NONE, np.uint64)
-    for hashes, line in shingles(lines):
-        place = ((hashes & _NONE) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(out, line * BINS + place, hashes >> np.uint64(32))
+    for hashes, line, whole in _windows(lines):
+        place = hashes & _NONE
+        place *= np.uint64(BINS)
+        place >>= np.uint64(32)
+        place = place.view(np.int64)
+        place += np.multiply(line, BINS, dtype=np.int64)
+        hashes >>= np.uint64(32)
+        hashes[~whole] = _NONE  # changes no minimum
+        np.minimum.at(out, place, hashes)
     out = out.reshape(n, BINS)
     filled = out != _NONE
     count = filled.sum(axis=1)
