@@ -26,6 +26,10 @@ BINS = BANDS * ROWS
 #: Minima whose low four bits make a line's sketch, by which pairs far below the similarity are told apart:
 #: what agrees in ``BELOW`` standard deviations less than expected is not compared (1 in 700 at the similarity itself).
 SKETCH, BELOW = 64, 3.0
+#: Bits of a line's print, by which pairs of a bucket are told apart without loss (lines of some hundred characters; longer ones fill it).
+PRINT = 2048
+#: Lines of a bucket whose pairs, at most half as many a line, are told apart by sketches alone; larger ones take prints.
+LIGHT = 32
 #: Rounds of comparing with one centre a bucket before the rest is compared across components.
 ROUNDS = 2
 #: Characters handled at once.
@@ -42,6 +46,7 @@ HINT, HINTED = 8, 3
 _KEYED = np.dtype([("key", "<u8"), ("id", "<i8"), ("hint", "<u4")])
 _STAR = np.dtype([("key", "<u8"), ("id", "<i8"), ("centre", "<i8")])
 _SKETCHES = [f"k{i}" for i in range(SKETCH // 16)]
+_PRINTS = [f"p{i}" for i in range(PRINT // 64)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(
         "doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "raw"),
-    ).where(F.btrim("raw", F.lit(_BLANK)) != "")
+    ).where(F.ltrim("raw", F.lit(_BLANK)) != "")  # from one end only: trimming a set from the right reads the whole line
     return rows.select("doc_id", "line_no", F.trim("raw").alias("line")).withColumn("id", F.xxhash64("line"))
 
 
@@ -245,6 +250,50 @@ def with_sketches(lines: DataFrame) -> DataFrame:
     return lines.select("id", "line").mapInArrow(sketch, "id long, line string, filled int, " + ", ".join(f"{c} long" for c in _SKETCHES))
 
 
+def prints(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """((lines, PRINT / 64) numbers, how many distinct shingles): each distinct shingle flips one of PRINT bits.
+
+    Shingles of both lines cancel out, so two prints differ in no more bits than there are
+    shingles of only one of the lines.
+    """
+    _, offsets = text_bytes(lines)
+    bits, count = np.zeros((len(lines), PRINT // 64), "<u8"), np.zeros(len(lines), np.int64)
+    for first, last in chunks(offsets, 1 << 20):
+        for at in range(first, last, 1 << 9):
+            n = min(last, at + (1 << 9)) - at
+            # Nine bits of a number tell the line, the others the shingle.
+            cut = [(of.astype(np.uint64) << np.uint64(55)) | (h >> np.uint64(9)) for h, of in shingles(lines.slice(at, n))]
+            found = np.unique(np.concatenate(cut)) if cut else np.zeros(0, np.uint64)
+            of = (found >> np.uint64(55)).astype(np.int64)
+            flips = np.bincount(of * PRINT + (found % np.uint64(PRINT)).astype(np.int64), minlength=n * PRINT)
+            bits[at : at + n] = np.packbits((flips & 1).astype(np.uint8), bitorder="little").view("<u8").reshape(n, -1)
+            count[at : at + n] = np.bincount(of, minlength=n)
+    return bits, count
+
+
+def with_prints(lines: DataFrame) -> DataFrame:
+    """(id, size, print) of lines (id, line)."""
+
+    def imprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, count = prints(batch.column("line"))
+            own = [pa.array(b.view(np.int64)) for b in np.ascontiguousarray(bits.T)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count), *own], names=["id", "size", *_PRINTS])
+
+    return lines.select("id", "line").mapInArrow(imprint, "id long, size long, " + ", ".join(f"{c} long" for c in _PRINTS))
+
+
+def _may_link(a: str, b: str, least: float) -> Column:
+    """Whether the prints of two rows allow a Jaccard similarity of ``least``. No such pair is denied.
+
+    Of x and y shingles x + y - 2 s are in one line only, s those in both; s >= least * (x + y - s)
+    bounds that by (x + y) * (1 - least) / (1 + least), and the bits that differ are no more.
+    """
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    differing = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _PRINTS), F.lit(0))
+    return (F.least(x, y) >= F.greatest(x, y) * least - 1e-6) & (differing <= (x + y) * ((1 - least) / (1 + least)) + 1e-6)
+
+
 def _near(other: str) -> Column:
     """Whether a row's sketch agrees with the one whose columns begin with ``other`` as lines of SIMILARITY do, or nearly."""
 
@@ -286,10 +335,10 @@ def _checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, label, sketch) of the buckets that hold more than one component."""
-    now = members.join(labels, "id")
-    several = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return now.join(several, "key")
+    """(key, id, label, sketch, lines) of the buckets that hold more than one component, and how many lines they hold."""
+    now = members.join(labels.select("id", "label"), "id")
+    found = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("lines"))
+    return members.join(found.where("lo <> hi").select("key", "lines"), "key").join(labels, "id")
 
 
 def _to_centres(now: DataFrame, turn: int) -> DataFrame:
@@ -311,6 +360,19 @@ def _across(now: DataFrame) -> DataFrame:
     return both.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
 
 
+def _across_by_prints(now: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of ``_across`` whose prints allow a link too; of these no link is missing.
+
+    Prints come first and only the pairs left meet their sketches: as one condition both
+    are many times slower.
+    """
+    own = saved(with_prints(lines.join(now.select("id").distinct(), "id")))
+    rows = now.select("key", "id", "label").join(own, "id")
+    bucket = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
+    both = rows.alias("x").join(rows.alias("y"), bucket & _may_link("x", "y", least))
+    return _paired(both.select(F.col("x.id").alias("id"), F.col("y.id").alias("centre")), lines)
+
+
 def _first_of_each(now: DataFrame, turn: int) -> DataFrame:
     """One row a component of each bucket, the first in this turn's order."""
     order = F.xxhash64("id", F.lit(turn))
@@ -318,7 +380,7 @@ def _first_of_each(now: DataFrame, turn: int) -> DataFrame:
 
 
 def _paired(stars: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b): the lines of each star with its centre, where sketches allow it."""
+    """(a, b): the lines of each star, or other pairs, with their centre, where sketches allow it."""
     of = lambda c, by: lines.select(F.col("id").alias(c), *[F.col(x).alias(by + x) for x in ("filled", *_SKETCHES)])
     both = stars.select("id", "centre").distinct().join(of("id", ""), "id").join(of("centre", "c_"), "centre").where(_near("c_"))
     return both.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
@@ -340,7 +402,14 @@ def labelled(stars: DataFrame, lines: DataFrame, least: float, rounds: int = ROU
             now = saved(_mixed(members, labels))
             if now.isEmpty():
                 break
-            pairs = saved(_to_centres(now, turn) if turn < rounds else _across(now if exact else _first_of_each(now, turn)))
+            members = now.select("key", "id")  # the other buckets are of one component for good
+            if turn < rounds:
+                pairs = saved(_to_centres(now, turn))
+            elif exact:
+                heavy = _across_by_prints(now.where(F.col("lines") > LIGHT), lines, least)
+                pairs = saved(_across(now.where(F.col("lines") <= LIGHT)).union(heavy).distinct())
+            else:
+                pairs = saved(_across(_first_of_each(now, turn)))
         of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"l{c}"))
         links = _checked(pairs, texts, least).join(of("a"), "a").join(of("b"), "b")
         united = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")))
