@@ -78,8 +78,9 @@ def format_millis(millis: Column) -> Column:
 
 
 def blob_display(value: Column) -> Column:
-    """Text where it is UTF-8, else base64 with a mark."""
-    return F.when(F.is_valid_utf8(value), F.decode(value, "UTF-8")).otherwise(F.concat(F.lit("base64:"), F.base64(value)))
+    """Text where it is UTF-8, else base64 with a mark, in one line (Spark's breaks after 76 characters)."""
+    line = F.replace(F.base64(value), F.lit("\r\n"), F.lit(""))
+    return F.when(F.is_valid_utf8(value), F.decode(value, "UTF-8")).otherwise(F.concat(F.lit("base64:"), line))
 
 
 # The units of durations, in milliseconds.
