@@ -17,3 +17,22 @@ def test_long_blobs_are_shown_in_one_line(spark, tmp_path):
     spark.createDataFrame([(3, url), (4, url)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     shown = dict(plans.QUERIES["blob_display"](spark, str(tmp_path)).collect())
     assert shown == {3: "base64:" + base64.b64encode(b"\xff" + url.encode()).decode(), 4: url}
+
+
+def test_bytes_beyond_a_long_are_exact(spark, tmp_path):
+    scales = {0: 1, 1: 999, 2: 1048577, 3: 1073741823, 4: 1099511627777}
+
+    def shown(n):
+        power = next((p for p in (4, 3, 2, 1) if n >= 1024**p), 0)
+        return f"{n / 1024**power:.1f} {('KiB', 'MiB', 'GiB', 'TiB')[power - 1]}" if power else f"{n} B"
+
+    def check(name, keys, kind):
+        spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        got = plans.QUERIES["format_bytes"](spark, f"{tmp_path}/{name}")
+        assert dict(got.dtypes)["n"] == kind
+        products = {k: None if k is None else k * (scales[k % 5] if k >= 0 else scales[-(-k % 5) % 5] if k % 5 == 0 else scales[4]) for k in keys}
+        assert {r[0]: (r[1] if r[1] is None else int(r[1]), r[2]) for r in got.collect()} == {k: (n, None if n is None else shown(n)) for k, n in products.items()}
+
+    fits = [0, 1, 4, 1_023, 8_388_604, 8_388_608, -1, -4, -5, None]
+    check("fits", fits, "bigint")
+    check("wide", [*fits, 8_388_609, 8_400_004, 8_999_999, 10**12 + 4, 2**63 - 3], "decimal(38,0)")

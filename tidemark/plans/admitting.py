@@ -120,11 +120,12 @@ def authorize_admin(t):
   FROM (SELECT o_orderkey, o_orderkey * CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 999 WHEN 2 THEN 1048577 WHEN 3 THEN 1073741823
     ELSE 1099511627777 END AS n FROM orders)""")
 def format_bytes(t):
-    scale = F.element_at(
-        F.array(*[F.lit(x).cast("long") for x in (1, 999, 1048577, 1073741823, 1099511627777)]),
-        (F.col("o_orderkey") % 5 + 1).cast("int"),
-    )
-    return t("orders").select("o_orderkey", (F.col("o_orderkey") * scale).alias("n")).withColumn("shown", A.format_bytes(F.col("n")))
+    """``n`` is a long, as in SQL, while every product fits one. Where one does not, SQL itself overflows: there ``n`` is an exact decimal."""
+    key, pick = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    scale = F.when(pick == 0, 1).when(pick == 1, 999).when(pick == 2, 1048577).when(pick == 3, 1073741823).otherwise(1099511627777).cast("long")
+    wide = t("orders").agg(F.bool_or(key.isNotNull() & F.try_multiply(key, scale).isNull())).first()[0]
+    n = key.cast("decimal(19,0)") * scale.cast("decimal(19,0)") if wide else key * scale
+    return t("orders").select("o_orderkey", n.alias("n")).withColumn("shown", A.format_bytes(F.col("n")))
 
 
 @query("mutation_log", (
